@@ -95,20 +95,34 @@ def pair_rows(diff: DataFrame, rules: RuleSet, small_pairs: int = SMALL_GROUP_PA
         F.col("n_added").cast("bigint").alias("n_added"),
         "any_listed",
     )
-    open_rows = rows.join(rest, GROUP).persist()
+    shape = rest.agg(
+        F.count_if((F.col("n_removed") > 0) & (F.col("n_added") > 0) & _is_small(small_pairs)).alias("small"),
+        F.count_if((F.col("n_removed") > 0) & (F.col("n_added") > 0) & ~_is_small(small_pairs)).alias("large"),
+        F.count_if((F.col("n_removed") == 0) | (F.col("n_added") == 0)).alias("one_sided"),
+    ).first()
+    if not any(shape):
+        return settled
+    open_rows = rows.join(rest, GROUP)
     one_sided = open_rows.filter((F.col("n_removed") == 0) | (F.col("n_added") == 0)).select(
         "file", "entity",
         F.when(removed, F.col("items")).alias("old_items"), F.when(added, F.col("items")).alias("new_items"),
     )
     both = open_rows.filter((F.col("n_removed") > 0) & (F.col("n_added") > 0))
-    small = (F.col("n_removed") * F.col("n_added") <= small_pairs) & (F.col("n_removed") + F.col("n_added") <= SMALL_GROUP_ROWS)
-    out = settled.unionByName(one_sided).unionByName(_small_groups(both.filter(small)))
-    large = both.filter(~small)
-    if not large.isEmpty():
-        out = out.unionByName(large_groups(large))
+    out = settled.unionByName(one_sided)
+    if shape["small"]:
+        small = both.filter(_is_small(small_pairs))
+        out = out.unionByName(_small_groups(small.filter(~F.col("any_listed"))))
+        if rules.list_topics:
+            out = out.unionByName(_small_listed_groups(small.filter("any_listed")))
+    if shape["large"]:
+        out = out.unionByName(large_groups(both.filter(~_is_small(small_pairs))))
     return out
 
 
+def _is_small(pairs: int) -> Column:
+    return (F.col("n_removed") * F.col("n_added") <= pairs) & (F.col("n_removed") + F.col("n_added") <= SMALL_GROUP_ROWS)
+
+
 # --- way 2: bounded groups ------------------------------------------------------------------
 
 
@@ -124,7 +138,41 @@ def best_first(edges: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
 
 
 def _small_groups(both: DataFrame) -> DataFrame:
-    """Bounded groups solved in one grouped-map task each (size proven by the group counts)."""
+    """Bounded groups (size proven by the group counts) solved inside one row each: the scored
+    edges are a sorted array and the one-to-one choice is a fold over it."""
+    member = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("items", "keyed"))))
+    g = both.groupBy(*GROUP).agg(member("removed").alias("olds"), member("added").alias("news"))
+    column = lambda e: e["key"]
+
+    def edge(o: Column, i: Column, n: Column, j: Column) -> Column:
+        width = F.size(F.array_union(F.transform(o["items"], column), F.transform(n["items"], column)))
+        score = F.size(F.array_intersect(o["items"], n["items"])) / F.greatest(width, F.lit(1))
+        return F.struct((-score).alias("s"), i.alias("i"), j.alias("j"), o["keyed"].alias("keyed"))
+
+    edges = F.flatten(F.transform("olds", lambda o, i: F.transform(F.col("news"), lambda n, j: edge(o, i, n, j))))
+    edges = F.array_sort(F.filter(edges, lambda e: e["keyed"] | (e["s"] <= -MIN_SCORE)))
+    ints = F.array().cast("array<int>")
+    start = F.struct(ints.alias("l"), ints.alias("r"))
+
+    def take(acc: Column, e: Column) -> Column:
+        free = ~F.array_contains(acc["l"], e["i"]) & ~F.array_contains(acc["r"], e["j"])
+        taken = F.struct(F.array_append(acc["l"], e["i"]).alias("l"), F.array_append(acc["r"], e["j"]).alias("r"))
+        return F.when(free, taken).otherwise(acc)
+
+    g = g.withColumn("m", F.aggregate(edges, start, take))
+    at = lambda rows, k: F.get(F.col(rows), k)["items"]
+    nothing = F.lit(None).cast(ITEMS)
+    both_ends = F.zip_with("m.l", "m.r", lambda i, j: F.struct(at("olds", i).alias("old_items"), at("news", j).alias("new_items")))
+    left = lambda rows, used: F.filter(F.transform(F.col(rows), lambda o, i: F.when(~F.array_contains(F.col(used), i), o["items"])), lambda o: o.isNotNull())
+    only_old = F.transform(left("olds", "m.l"), lambda o: F.struct(o.alias("old_items"), nothing.alias("new_items")))
+    only_new = F.transform(left("news", "m.r"), lambda n: F.struct(nothing.alias("old_items"), n.alias("new_items")))
+    out = g.select("file", "entity", F.explode(F.concat(both_ends, only_old, only_new)).alias("p"))
+    return out.select("file", "entity", "p.old_items", "p.new_items")
+
+
+def _small_listed_groups(both: DataFrame) -> DataFrame:
+    """Bounded groups of list remarks, one grouped-map call each: the topic check (D-5) needs
+    the sequence ratio for pairs that share no word."""
     text = F.when(F.col("any_listed"), _remark(F.col("items")))
     ready = both.withColumn("canon", T.canon(text)).withColumn("stems", T.stems(text))
 
