@@ -75,7 +75,9 @@ def pair_rows(diff: DataFrame, rules: RuleSet, small_pairs: int = SMALL_GROUP_PA
     Returns ``file, entity, old_items, new_items``: both set for a pair, one of them null for a
     row that stays removed or added.
     """
-    rows = prepared(diff, rules)
+    # The changed rows are read several times below; the shuffle of both whole snapshots that
+    # finds them must run once.
+    rows = cut_lineage(prepared(diff, rules))
     removed, added = F.col("side") == "removed", F.col("side") == "added"
     groups = rows.groupBy(*GROUP).agg(
         F.count_if(removed).alias("n_removed"),
@@ -415,3 +417,25 @@ def _zip_sides(rows: DataFrame) -> DataFrame:
     both = old.join(new, ["gid", "n"])
     stranger = T.unrelated(F.when(F.col("listed"), _remark(F.col("old_items"))), F.when(F.col("listed"), _remark(F.col("new_items"))))
     return both.filter(~F.coalesce(stranger, F.lit(False))).select("gid", "old_items", "new_items")
+
+
+# --- assignment over given edges ------------------------------------------------------------
+
+
+def assign(edges: DataFrame, group: list[str], left: str, right: str, score: list[str]) -> DataFrame:
+    """D-4 over ready-made edges: one-to-one, lowest ``score`` columns first, ties by the left
+    and then the right id. Rounds keep the edges that come first for both of their ends."""
+    edge = F.struct(*score, left, right)
+    alive = cut_lineage(edges.select(*group, *score, left, right).distinct())
+    found: list[DataFrame] = []
+    while not alive.isEmpty():
+        e = alive.withColumn("__e", edge)
+        best_l = e.groupBy(*group, left).agg(F.min("__e").alias("__l"))
+        best_r = e.groupBy(*group, right).agg(F.min("__e").alias("__r"))
+        chosen = e.join(best_l, [*group, left]).join(best_r, [*group, right])
+        chosen = cut_lineage(chosen.filter((F.col("__e") == F.col("__l")) & (F.col("__e") == F.col("__r"))).select(*group, left, right, *score))
+        found.append(chosen)
+        alive = cut_lineage(
+            alive.join(chosen.select(*group, left), [*group, left], "left_anti").join(chosen.select(*group, right), [*group, right], "left_anti")
+        )
+    return reduce(DataFrame.unionByName, found) if found else alive.select(*group, left, right, *score)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config.rules import RuleSet
 from tidemark.functions import predicates as P
 from tidemark.operators import diff, pairing, rank
+from tidemark.session import cut_lineage
 
 RECORD = ["entity", "source", "kind", "priority", "category", "fields", "row", "context", "new_row"]
 
@@ -19,7 +20,7 @@ def ranked_changes(old: DataFrame, new: DataFrame, rules: RuleSet, text_override
     thing stays is an edit (D-8), gaining one on a known thing is fyi.
     """
     difference = diff.slot_insensitive_difference(old, new, rules)
-    paired = pairing.pair_rows(difference, rules)
+    paired = cut_lineage(pairing.pair_rows(difference, rules))
     edits = paired.filter(F.col("old_items").isNotNull() & F.col("new_items").isNotNull()).select(
         "file", "entity",
         F.map_from_entries("old_items").alias("old_row"),
