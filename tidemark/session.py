@@ -72,3 +72,10 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for a table written between stages."""
     return os.path.join(checkpoint_folder(spark), name)
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Give CPU-heavy row work enough tasks: a scan that already has several partitions per
+    core (any large table) is left alone, a small one is redistributed round-robin."""
+    want = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
