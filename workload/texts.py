@@ -113,7 +113,7 @@ def translation_numbers(spark, sf):
 @query()
 def translation_qa(spark, sf):
     """All checks over every user -> assistant pair."""
-    checked = TR.problems(spread(turn_pairs(spark, sf).select("pair", "raw", "plain")), word_glossary(spark, sf))
+    checked = TR.problems(turn_pairs(spark, sf).select("pair", "raw", "plain"), word_glossary(spark, sf))
     return TR.problem_rows(checked)
 
 
