@@ -30,7 +30,11 @@ def money(column: str) -> Column:
 
 
 def snapshot(df: DataFrame, file: str, entity: Column, columns: dict[str, Column]) -> DataFrame:
-    return df.select(F.lit(file).alias("file"), entity.cast("string").alias("entity"), row_map(columns).alias("row"))
+    """A typed table as snapshot rows. ``items`` is the row's identity, laid out in column order
+    at plan time; ``row`` is the same as a map. A plan computes only the one it uses."""
+    text = lambda v: F.coalesce(F.trim(v.cast("string")), F.lit(""))
+    items = F.array(*[F.struct(F.lit(c).alias("key"), text(columns[c]).alias("value")) for c in sorted(columns)])
+    return df.select(F.lit(file).alias("file"), entity.cast("string").alias("entity"), items.alias("items"), row_map(columns).alias("row"))
 
 
 def row_items(row: Column) -> Column:
@@ -43,8 +47,9 @@ def presence(old: DataFrame, new: DataFrame) -> DataFrame:
     One shuffle on the whole row: identical copies combine map-side and a hot entity spreads
     over all tasks because its rows differ.
     """
+    identity = lambda df: F.col("items") if "items" in df.columns else row_items(F.col("row"))
     keyed = lambda df, was: df.select(
-        "file", "entity", row_items(F.col("row")).alias("items"), F.lit(was).alias("in_old"), F.lit(not was).alias("in_new")
+        "file", "entity", identity(df).alias("items"), F.lit(was).alias("in_old"), F.lit(not was).alias("in_new")
     )
     return (
         keyed(old, True)

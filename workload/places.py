@@ -75,9 +75,10 @@ def bridge_attribution(spark, sf):
     bridge = li.join(table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select(
         part.alias("procedure"), F.col("s_nationkey").cast("string").alias("entity")
     )
-    named = points.withColumn("name", attribute.split_code(F.col("code"))["name"])
+    # counted per procedure first: the hop multiplies one row per procedure, not per point
+    named = points.groupBy(attribute.split_code(F.col("code"))["name"].alias("name")).agg(F.count(F.lit(1)).alias("n"))
     out = attribute.attribute_through(named, bridge, F.col("name"), "procedure", "entity")
-    return out.groupBy("entity").agg(F.count(F.lit(1)).alias("points"), F.count_distinct("name").alias("procedures"))
+    return out.groupBy("entity").agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("procedures"))
 
 
 # --- J-4 --------------------------------------------------------------------------------------
