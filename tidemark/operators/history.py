@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config.rules import AERO, RuleSet
 from tidemark.operators.skew import first_per_key
+from tidemark.session import cut_lineage
 
 
 def upserted(history: DataFrame, changes: DataFrame) -> DataFrame:
@@ -80,7 +81,6 @@ def reprocess(history: DataFrame, rules: RuleSet = AERO) -> DataFrame:
     changed = F.col("kind") == "changed"
     kept = history.withColumn("row", F.when(~changed, F.map_from_entries(F.transform("fields", lambda f: F.struct(f["field"], F.when(F.col("kind") == "added", f["new"]).otherwise(f["old"]))))))
     edits = kept.filter(changed & (F.size("fields") > 0)).withColumns({"file": F.col("source"), "old_row": side("old"), "new_row": side("new")}).withColumn("fields", sized)
-    stored = F.col("__stored")
     edits = rank.edit_priority(edits.withColumn("__stored", F.col("priority")), rules)
     rows = kept.filter(~changed & (F.size("fields") > 0)).withColumns({"file": F.col("source"), "existed": F.lit(False), "__stored": F.col("priority")})
     rows = rank.row_priority(rows, rules)
@@ -88,16 +88,18 @@ def reprocess(history: DataFrame, rules: RuleSet = AERO) -> DataFrame:
     columns = [*history.columns, "row", "__stored"]
     plain = F.transform("fields", lambda f: F.struct(f["field"].alias("field"), f["old"].alias("old"), f["new"].alias("new")))
     both = edits.withColumn("fields", plain).select(*columns).unionByName(rows.select(*columns)).unionByName(bare.select(*columns))
-    both = both.withColumns({"context": F.create_map().cast("map<string,string>"), "__said": F.col("summary"), "new_row": F.lit(None).cast("map<string,string>")})
+    both = cut_lineage(both).withColumns({"context": F.create_map().cast("map<string,string>"), "__said": F.col("summary"), "new_row": F.lit(None).cast("map<string,string>")})
     worded = W.describe(both.withColumn("summary", F.when((F.size("fields") == 0) | F.col("source").isin(*rules.remark_files), F.col("__said"))))
     line = F.when(F.col("no_template"), F.col("__said")).otherwise(F.array_join("phrases", "; "))
     worded = worded.withColumn("summary", line).filter(F.col("priority") != "hidden")
-    events = C.as_events(worded)
+    if "category" not in worded.columns:
+        worded = worded.withColumn("category", F.lit(None).cast("string"))
+    events = cut_lineage(C.as_events(worded))
     folded, used = C.whole_and_parts(events)
-    whole = folded.select("entity", F.col("row").alias("__row"), F.col("summary").alias("__line"), F.col("priority").alias("__rank"))
+    whole = folded.select("entity", F.to_json("row").alias("__k"), F.col("summary").alias("__line"), F.col("priority").alias("__rank"))
     parts_gone = events.join(used, "rid", "left_semi").filter(F.col("source") != "ILS_BASE").select("rid")
-    out = C.without(events, parts_gone)
-    out = out.join(whole.withColumn("__k", F.to_json("__row")).drop("__row"), (events["entity"] == whole["entity"]) & (F.to_json(out["row"]) == F.col("__k")) & (out["source"] == "ILS_BASE"), "left").drop(whole["entity"])
+    out = C.without(events, parts_gone).withColumn("__k", F.when(F.col("source") == "ILS_BASE", F.to_json("row")))
+    out = out.join(whole, ["entity", "__k"], "left")
     out = out.withColumns({"summary": F.coalesce("__line", "summary"), "priority": F.coalesce("__rank", "priority")})
     unique = first_per_key(out, ["entity", "cycle", "summary"], [F.col("id")])
     return unique.select(*history.columns)
