@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import file_base
@@ -44,14 +44,17 @@ def change_id(entity: Column, cycle: Column, key: Column) -> Column:
 def numbered_ids(df: DataFrame, cycle: Column, order: list[Column]) -> DataFrame:
     """W-4: ids with '#2', '#3' ... appended to the key of later records that share it.
 
-    Only keys that really repeat are numbered, so the common case needs no window over rows.
-    Repeats of one key differ in dropped columns only and were made distinct by summary, so a
-    repeated key holds few rows.
+    Numbering inside a key goes through :func:`ordinal`: a window while every key was measured
+    to fit a task, range partitions with offsets when copies of one key pile up.
     """
-    keyed = df.withColumn("__key", change_key(df))
-    n = F.row_number().over(Window.partitionBy("entity", "__key").orderBy(*order))
+    from tidemark.operators.skew import ordinal
+
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    keyed = df.withColumn("__key", change_key(df)).withColumn("__place", place)
+    n = F.col("__n")
     suffix = F.when(n > 1, F.concat(F.lit("#"), n.cast("string"))).otherwise(F.lit(""))
-    return keyed.withColumn("id", change_id(F.col("entity"), cycle, F.concat(F.col("__key"), suffix))).drop("__key")
+    out = ordinal(keyed, ["entity", "__key"], ["__place"], "__n")
+    return out.withColumn("id", change_id(F.col("entity"), cycle, F.concat(F.col("__key"), suffix))).drop("__key", "__place", "__n")
 
 
 def row_fields(kind: Column, row: Column) -> Column:

@@ -14,7 +14,7 @@ def upserted(history: DataFrame, changes: DataFrame) -> DataFrame:
     """K-4 as a table: the new result replaces its cycles. An entity that no longer changes in
     a replayed cycle loses its stale entry, because a cycle is replaced whole."""
     replaced = changes.select("cycle").distinct()
-    return history.join(F.broadcast(replaced), "cycle", "left_anti").unionByName(changes, allowMissingColumns=True)
+    return history.join(replaced, "cycle", "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
 def append(changes: DataFrame, path: str) -> None:
