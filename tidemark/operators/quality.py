@@ -39,11 +39,11 @@ def past_action_counts(history: DataFrame, exclude: Column, last: int = BASELINE
 
 
 def volume_gate(changes: DataFrame, past: DataFrame, min_entities: int = MIN_ENTITIES) -> DataFrame:
-    """Q-4: one row ``entities, actions, median, level, reason``. Both sides are one-row
-    aggregates joined on a constant key."""
+    """Q-4: one row ``entities, actions, median, level, reason``; the baseline is a scalar
+    subquery."""
     now = changes.agg(F.count_distinct("entity").alias("entities"), F.count_if(F.col("priority") == "action").alias("actions"))
-    base = past.agg(F.median("actions").alias("median"), F.count(F.lit(1)).alias("cycles"))
-    one = now.withColumn("__one", F.lit(1)).join(base.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    base = past.agg(F.struct(F.median("actions").alias("median"), F.count(F.lit(1)).alias("cycles")).alias("b")).scalar()
+    one = now.withColumn("b", base).select("entities", "actions", "b.median", "b.cycles")
     ratio = F.col("actions") / F.nullif(F.col("median"), F.lit(0.0))
     judged = (F.col("cycles") >= MIN_PAST_CYCLES) & (F.col("actions") > 0)
     far = judged & ((ratio > RATIO_ERROR) | (ratio < 1 / RATIO_ERROR))
@@ -137,10 +137,10 @@ def combine_gates(cycle_errors: DataFrame, *others: DataFrame) -> DataFrame:
     """Q-5: errors and warnings of all gates; when the cycle gate fails nothing else counts.
     Inputs carry ``level, reason``."""
     out = cycle_errors.select(F.lit("error").alias("level"), F.col("error").alias("reason")) if "error" in cycle_errors.columns else cycle_errors.select("level", "reason")
-    failed = out.filter(F.col("level") == "error").limit(1).select(F.lit(1).alias("__one"))
+    failed = out.agg(F.count_if(F.col("level") == "error").alias("n")).scalar()
     for gate in others:
-        rows = gate.filter(F.col("level") != "ok").select("level", "reason").withColumn("__one", F.lit(1))
-        out = out.unionByName(rows.join(failed, "__one", "left_anti").drop("__one"))
+        rows = gate.filter(F.col("level") != "ok").select("level", "reason")
+        out = out.unionByName(rows.filter(failed == 0))
     return out
 
 
@@ -155,10 +155,8 @@ def completeness(meta: DataFrame, index: DataFrame, documents: DataFrame, direct
     gone = lambda a, b, text: ids(a).join(ids(b), "entity", "left_anti").select(F.lit(text).alias("problem"), "entity")
     none = F.lit(None).cast("string")
     small = directory.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < min_directory).select(F.lit("directory too small").alias("problem"), none.alias("entity"))
-    listed = ids(index).agg(F.count(F.lit(1)).alias("n")).withColumn("__one", F.lit(1))
-    count = (
-        meta.select(F.col("changed"), F.lit(1).alias("__one")).join(listed, "__one").filter(F.col("changed") != F.col("n")).select(F.lit("changed count differs from index").alias("problem"), none.alias("entity"))
-    )
+    listed = ids(index).agg(F.count(F.lit(1)).alias("n")).scalar()
+    count = meta.filter(F.col("changed") != listed).select(F.lit("changed count differs from index").alias("problem"), none.alias("entity"))
     return (
         gone(index, documents, "in index without a document")
         .unionByName(gone(documents, index, "document not in index"))
@@ -235,10 +233,10 @@ def incidents(judged: DataFrame, cycles_back: int = 3, most: int = 10, errors_ea
     first errors and the total count."""
     recent = judged.select("cycle").distinct().orderBy(F.desc("cycle")).limit(cycles_back)
     bad = judged.join(F.broadcast(recent), "cycle", "left_semi").filter(F.col("verdict").isin("blocked", "crashed"))
-    total = bad.agg(F.count(F.lit(1)).alias("incidents")).withColumn("__one", F.lit(1))
-    top = bad.orderBy(F.desc("started_at"), F.desc("run_id")).limit(most).withColumn("__one", F.lit(1))
-    return top.join(total, "__one").select(
-        "run_id", "cycle", "verdict", "started_at", F.slice("errors", 1, errors_each).alias("errors"), "incidents"
+    total = bad.agg(F.count(F.lit(1)).alias("n")).scalar()
+    top = bad.orderBy(F.desc("started_at"), F.desc("run_id")).limit(most)
+    return top.select(
+        "run_id", "cycle", "verdict", "started_at", F.slice("errors", 1, errors_each).alias("errors"), total.alias("incidents")
     )
 
 
