@@ -75,29 +75,29 @@ def single(batch: pa.RecordBatch, name: str) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def range_shards(df: DataFrame, key: str, shards: int, out: str = "__shard", sample: int = 20_000) -> DataFrame:
-    """``df`` with the number of its range of ``key``: ascending ranges of about equal row counts.
+def range_shard(keys: DataFrame, key: str, shards: int, sample: int = 20_000) -> Column:
+    """The number of the range a key is in: ascending ranges of about equal row counts.
 
     The bounds come from the keys whose hash is lowest - the same keys however the input is
     partitioned, about ``sample`` of them - so the ranges are deterministic and only the key column
-    is read for them. Null keys go to range 0. Every row gets a range; the sample sets bounds only.
+    is read for them. Null keys are in range 0. Every row has a range; the sample sets bounds only.
     """
-    rows = df.count()
+    rows = keys.count()
     if shards <= 1 or rows == 0:
-        return df.withColumn(out, F.lit(0))
+        return F.lit(0)
     step = max(1, rows // sample)
-    chosen = df.select(key).filter(F.pmod(F.xxhash64(key), F.lit(step)) == 0).filter(F.col(key).isNotNull())
-    keys = sorted(r[0] for r in chosen.distinct().limit(8 * sample).collect())
-    bounds = sorted({keys[len(keys) * i // shards] for i in range(1, shards)}) if keys else []
+    chosen = keys.select(key).filter(F.pmod(F.xxhash64(key), F.lit(step)) == 0).filter(F.col(key).isNotNull())
+    found = sorted(r[0] for r in chosen.distinct().limit(8 * sample).collect())
+    bounds = sorted({found[len(found) * i // shards] for i in range(1, shards)}) if found else []
     if not bounds:
-        return df.withColumn(out, F.lit(0))
+        return F.lit(0)
     # Two levels, so that a row meets about 2 * sqrt(shards) bounds.
     width = max(1, int(len(bounds) ** 0.5))
     every, coarse = F.lit(np.array(bounds)), F.lit(np.array(bounds[::width]))
     passed = F.size(F.filter(coarse, lambda b: b <= F.col(key)))
     near = F.slice(every, (F.greatest(passed, F.lit(1)) - 1) * width + 1, F.lit(width))
     place = (F.greatest(passed, F.lit(1)) - 1) * width + F.size(F.filter(near, lambda b: b <= F.col(key)))
-    return df.withColumn(out, F.when(F.col(key).isNull(), 0).otherwise(place).cast("int"))
+    return F.when(F.col(key).isNull(), 0).otherwise(place).cast("int")
 
 
 def input_tasks(df: DataFrame) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, packing, repair_files
+from tidemark.llm import chat, decontaminate, exact_dedup, licenses, packing, quality, repair_files, simhash, url_filter, warc
 from tidemark.llm.common import shared_folder, table
 
 QUERIES: dict = {}
@@ -41,3 +41,40 @@ def op9_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op4_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query(url_filter.oracle())
+def op6_rarest_token_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op1_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op7_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op2_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+    return warc.read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+@query()
+def op5_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_calls(*chat.turns_as_calls(table(spark, sf_dir, "conversations")))

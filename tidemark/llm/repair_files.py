@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import file_system, input_tasks, range_shards, single, text_of
+from tidemark.llm.common import file_system, input_tasks, range_shard, single, text_of
 from tidemark.llm.tokens import encoder
 from tidemark.session import cut_lineage
 
@@ -275,7 +275,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, text: str =
     store.create_dir(root, recursive=True)
     rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
     tasks = input_tasks(rows)
-    laid = range_shards(rows, "key", tasks).repartitionById(tasks, F.col("__shard")) if tasks > 1 else rows.coalesce(1)
+    laid = rows.withColumn("__shard", range_shard(rows.select("key"), "key", tasks)).repartitionById(tasks, F.col("__shard")) if tasks > 1 else rows.coalesce(1)
     laid = laid.sortWithinPartitions("key", "text").select("key", "text")
     return cut_lineage(laid.mapInArrow(lambda it: _written(it, folder, tokenizer, plain_case, end_id, how), MANIFEST))
 
