@@ -119,7 +119,7 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: list[
 
     def fits(k: Column) -> Column:
         rule = F.get(table, k)
-        return F.when(rule["base"], place.rlike(rule["regex"])).otherwise(F.col("__plain").rlike(rule["regex"]))
+        return F.when(rule["base"], F.rlike(place, rule["regex"])).otherwise(F.rlike(F.col("__plain"), rule["regex"]))
 
     matched = rows.withColumn("__matched", F.transform(F.filter("__fetched", fits), lambda k: F.get(table, k)))
     first = lambda base: F.get(F.filter("__matched", lambda r: r["base"] == F.lit(base)), F.lit(0))

@@ -153,7 +153,7 @@ def write_archives(pages: DataFrame, folder: str, payload: str = "html", key: st
 # --- reading -----------------------------------------------------------------------------------
 def members(store, path: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The gzip members of a file, each decompressed; one at a time is held."""
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         rest = f.read(chunk)
         while rest:
             unpacker, parts = zlib.decompressobj(31), []
