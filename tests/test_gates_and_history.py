@@ -111,6 +111,27 @@ def test_new_cycles_run_once_and_replays_change_nothing(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(hist).collect())) == before and len(before) == 1
 
 
+def test_a_cycle_may_arrive_in_parts_and_in_any_order(spark, tmp_path):
+    schema = "cycle string, entity string, v string"
+    parts = [("2026-08-06", ["1", "2"]), ("2026-09-03", ["2", "3"]), ("2026-09-03", ["4"]), ("2026-08-06", ["3"]), ("2026-10-01", ["2", "3", "4"])]
+    handle = lambda old, new, was, now: new.exceptAll(old).select("entity", F.lit("fyi").alias("priority"), F.col("v").alias("id"))
+
+    def outcome(name, batches):
+        drops, store, hist = (str(tmp_path / name / n) for n in ("drops", "store", "history"))
+        for batch in batches:
+            for cycle, values in batch:
+                spark.createDataFrame([(cycle, "A", v) for v in values], schema).coalesce(1).write.mode("append").parquet(drops)
+            streaming.on_new_cycles(spark, drops, schema, store, handle, hist, str(tmp_path / name / "cp")).awaitTermination()
+        stored = sorted((str(r["cycle"]), r["v"]) for r in spark.read.parquet(store).collect())
+        return stored, sorted((str(r["cycle"]), r["id"]) for r in spark.read.parquet(hist).collect())
+
+    at_once = outcome("at_once", [parts])
+    assert at_once[0] == sorted((c, v) for c, values in parts for v in values)
+    assert at_once[1] == [("2026-09-03", "4")]
+    assert outcome("in_parts", [[p] for p in parts]) == at_once
+    assert outcome("backwards", [[p] for p in reversed(parts)]) == at_once
+
+
 def test_notifications_are_sent_once(spark, tmp_path):
     src, sent = str(tmp_path / "src"), str(tmp_path / "sent")
     spark.createDataFrame([("A", "c1", "action"), ("B", "c1", "fyi")], "entity string, cycle string, priority string").write.parquet(src)

@@ -1,7 +1,8 @@
 """Snapshot difference (D-1, D-2, D-6 .. D-10).
 
 A snapshot is a long table ``(file, entity, row MAP<STRING,STRING>)``. A row's identity is its
-sorted (column, value) entries, so column order, row order and missing columns never matter.
+sorted (column, value) entries, so column order, row order and missing columns never matter. Snapshots
+are compared by 128-bit digests of their rows; only the rows that turn out to differ are fetched.
 """
 
 from __future__ import annotations
@@ -41,33 +42,38 @@ def row_items(row: Column) -> Column:
     return F.array_sort(F.map_entries(row))
 
 
-def presence(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Every distinct row of either snapshot once, flagged by where it occurs.
+def _with_digest(df: DataFrame, slots=()) -> DataFrame:
+    """Rows with their identity and a 128-bit digest of it; with ``slots`` also one without those columns."""
+    identity = F.col("items") if "items" in df.columns else row_items(F.col("row"))
+    out = df.select("file", "entity", identity.alias("items"))
+    digest = lambda items: F.struct(F.xxhash64("file", "entity", items).alias("a"), F.xxhash64(F.lit(1), items, "entity", "file").alias("b"))
+    out = out.withColumn("digest", digest(F.col("items")))
+    return out.withColumn("content", digest(slotless(F.col("items"), slots))) if slots else out
 
-    One shuffle on the whole row: identical copies combine map-side and a hot entity spreads
-    over all tasks because its rows differ.
+
+def _presence(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """Every distinct digest of either snapshot once, flagged by where it occurs.
+
+    Digests are all that is shuffled: copies combine map-side, a hot entity spreads over all tasks.
     """
-    identity = lambda df: F.col("items") if "items" in df.columns else row_items(F.col("row"))
-    keyed = lambda df, was: df.select(
-        "file", "entity", identity(df).alias("items"), F.lit(was).alias("in_old"), F.lit(not was).alias("in_new")
-    )
-    return (
-        keyed(old, True)
-        .unionByName(keyed(new, False))
-        .groupBy("file", "entity", "items")
-        .agg(F.bool_or("in_old").alias("in_old"), F.bool_or("in_new").alias("in_new"))
-    )
+    keyed = lambda df, was: df.select(*keys, F.lit(was).alias("in_old"), F.lit(not was).alias("in_new"))
+    return keyed(old, True).unionByName(keyed(new, False)).groupBy(*keys).agg(F.bool_or("in_old").alias("in_old"), F.bool_or("in_new").alias("in_new"))
 
 
-def set_difference(old: DataFrame, new: DataFrame) -> DataFrame:
-    """D-1: distinct rows found on one side only, with ``side`` 'removed' or 'added'."""
-    return one_sided(presence(old, new))
+def _rows_of(old: DataFrame, new: DataFrame, found: DataFrame) -> DataFrame:
+    """The distinct rows behind one-sided digests (``digest, in_old``), with their side."""
+    def fetch(df: DataFrame, was: bool, side: str) -> DataFrame:
+        wanted = found.filter(F.col("in_old") == was).select("digest")
+        rows = df.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.any_value(F.struct("file", "entity", "items")).alias("row"))
+        return rows.select("row.file", "row.entity", "row.items", F.lit(side).alias("side"))
 
+    return fetch(old, True, "removed").unionByName(fetch(new, False, "added"))
 
-def one_sided(present: DataFrame) -> DataFrame:
-    return present.filter(F.col("in_old") != F.col("in_new")).select(
-        "file", "entity", "items", F.when(F.col("in_old"), F.lit("removed")).otherwise(F.lit("added")).alias("side")
-    )
+
+def set_difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """D-1: distinct rows found on one side only, with ``side`` 'removed' or 'added'."""
+    old, new = _with_digest(old), _with_digest(new)
+    return _rows_of(old, new, _presence(old, new, "digest").filter(F.col("in_old") != F.col("in_new")))
 
 
 def slotless(items: Column, slot_columns) -> Column:
@@ -78,21 +84,15 @@ def slotless(items: Column, slot_columns) -> Column:
 def slot_insensitive_difference(old: DataFrame, new: DataFrame, rules: RuleSet) -> DataFrame:
     """D-1 with D-2 for numbered lists: a row of a list table whose content (slot columns
     aside) still exists on the other side has only moved, and is no change."""
-    present = presence(old, new)
     if not rules.slot_columns or not rules.remark_files:
-        return one_sided(present)
+        return set_difference(old, new)
+    old, new = _with_digest(old, rules.slot_columns), _with_digest(new, rules.slot_columns)
     listed = F.col("file").isin(*rules.remark_files)
-    lists = present.filter(listed).withColumn("content", slotless(F.col("items"), rules.slot_columns))
-    sides = lists.groupBy("file", "entity", "content").agg(
-        F.bool_or("in_old").alias("c_old"), F.bool_or("in_new").alias("c_new")
-    )
-    gone_or_come = sides.filter(F.col("c_old") != F.col("c_new")).select("file", "entity", "content")
-    moved_out = (
-        lists.filter(F.col("in_old") != F.col("in_new"))
-        .join(gone_or_come, ["file", "entity", "content"], "left_semi")
-        .drop("content")
-    )
-    return one_sided(present.filter(~listed).unionByName(moved_out))
+    tag = lambda df: df.withColumn("content", F.when(listed, F.col("content")))
+    present = _presence(tag(old), tag(new), "digest", "content")
+    sides = present.filter("content is not null").groupBy("content").agg(F.bool_or("in_old").alias("o"), F.bool_or("in_new").alias("n"))
+    stays = sides.filter("o and n").select("content")
+    return _rows_of(old, new, present.filter(F.col("in_old") != F.col("in_new")).join(stays, "content", "left_anti"))
 
 
 def edits(file: Column, old_row: Column, new_row: Column, rules: RuleSet) -> Column:

@@ -31,6 +31,12 @@ def append(changes: DataFrame, path: str) -> None:
     )
 
 
+def replace_cycle(changes: DataFrame, cycle: str, path: str) -> None:
+    """K-4 for one cycle: its changes, none included, become all that the history has of it."""
+    rows = changes.drop("cycle").repartitionByRange("entity", "id")
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/cycle={cycle}")
+
+
 def index(history: DataFrame) -> DataFrame:
     """K-5: entries, first and last cycle and actions per entity."""
     return history.groupBy("entity").agg(
@@ -39,11 +45,6 @@ def index(history: DataFrame) -> DataFrame:
     )
 
 
-def cycles_done(history: DataFrame) -> DataFrame:
-    """K-5: the cycles the history holds."""
-    return history.select("cycle").distinct()
-
-
 def rematch(history: DataFrame, produced: DataFrame, natural_key: list[str], columns: list[str]) -> DataFrame:
     """D-15: rewrite stored entries with new output, by id, else by natural key; an entry with
     no match keeps what it has. Ids stay as stored."""

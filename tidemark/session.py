@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +29,7 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.ansi.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -38,14 +39,16 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir`` when it is
-    set, otherwise (tests, laptops) a fresh temporary folder."""
+    """The shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir``. On a local master a
+    fresh temporary folder stands in where it is unset; elsewhere executors could not see one."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 
@@ -64,16 +67,6 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return df
 
 
-def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A rule table of fixed, code-defined size (safe to broadcast by construction)."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared checkpoint folder for a table written between stages."""
-    return os.path.join(checkpoint_folder(spark), name)
-
-
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Give CPU-heavy row work enough tasks: a scan that already has several partitions per
     core (any large table) is left alone, a small one is redistributed round-robin."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,31 +18,32 @@ def on_new_cycles(
     spark: SparkSession, drops: str, schema: str, snapshots: str, handle: Callable[[DataFrame, DataFrame, str, str], DataFrame | None],
     history_path: str, checkpoint: str,
 ) -> StreamingQuery:
-    """X-1 + X-2: snapshot rows dropped as files are stored per cycle, and each new cycle is
-    compared with the newest earlier one, once and in order.
+    """X-1 + X-2: snapshot rows dropped as files are stored per cycle and file, and each cycle that
+    grew is compared with the newest earlier one; so is the cycle after it, whose base it is.
 
-    The last snapshot is a table, not state. A replayed batch overwrites the same cycle of
-    both tables, so a restart after a failure changes nothing.
+    The snapshots are a table, not state. A cycle may arrive in any number of files, batches and
+    orders: its rows are those of all its files. A replayed batch overwrites the same files'
+    partitions and the same cycles of the history, so a restart after a failure changes nothing.
     """
 
     def run(batch: DataFrame, _epoch: int) -> None:
         session = batch.sparkSession
-        (
-            batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cycle").parquet(snapshots)
-        )
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cycle", "drop").parquet(snapshots)
         stored = session.read.parquet(snapshots)
-        arrived = sorted(r["cycle"] for r in batch.select(F.col("cycle").cast("string").alias("cycle")).distinct().collect())
-        known = sorted(r["cycle"] for r in stored.select(F.col("cycle").cast("string").alias("cycle")).distinct().collect())
-        for cycle in arrived:
-            earlier = [c for c in known if c < cycle]
-            if not earlier:
-                continue
-            side = lambda c: stored.filter(F.col("cycle") == F.lit(c).cast(stored.schema["cycle"].dataType)).drop("cycle")
-            changes = handle(side(earlier[-1]), side(cycle), earlier[-1], cycle)
-            if changes is not None:
-                history.append(changes.withColumn("cycle", F.lit(cycle)), history_path)
-
-    stream = spark.readStream.schema(schema).parquet(drops)
+        arrived = {r["cycle"] for r in batch.select(F.col("cycle").cast("string").alias("cycle")).distinct().collect()}
+        # The cycles are the store's folders: no data is read to list them.
+        known = sorted({unquote(m[1]) for path in stored.inputFiles() if (m := re.search("/cycle=([^/]*)/", path))})
+        base_of = dict(zip(known[1:], known))
+        side = lambda c: stored.filter(F.col("cycle") == F.lit(c).cast(stored.schema["cycle"].dataType)).drop("cycle", "drop")
+        for cycle in known[1:]:
+            base = base_of[cycle]
+            if cycle in arrived or base in arrived:
+                changes = handle(side(base), side(cycle), base, cycle)
+                if changes is not None:
+                    # The cycle's whole folder: a cycle that no longer has changes keeps none.
+                    history.replace_cycle(changes, cycle, history_path)
+
+    stream = spark.readStream.schema(schema).parquet(drops).withColumn("drop", F.md5(F.col("_metadata.file_path")))
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -205,7 +205,7 @@ def streaming_cycle_counts(spark, sf):
     source = table(spark, sf, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     counts = streaming.cycle_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", 2, "1 day", ANCHOR, ["event_type"])
-    folder = os.path.join(checkpoint_folder(spark), f"cycle_counts_{uuid.uuid4().hex}")
+    folder = f"{checkpoint_folder(spark)}/cycle_counts_{uuid.uuid4().hex}"
     q = (
         counts.writeStream.outputMode("complete")
         .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(os.path.join(folder, "counts")))
