@@ -30,24 +30,16 @@ SMALL_GROUP_PAIRS = 4096
 SMALL_GROUP_ROWS = 2048
 GROUP = ["file", "entity", "pair_key"]
 ITEMS = "array<struct<key:string,value:string>>"
+KEYS = "array<struct<key:string,value:string,there:boolean>>"
 
 
-def pair_key(file: Column, items: Column, rules: RuleSet) -> Column:
-    """The pair-key values of a row as one string array; empty when its file has no keys."""
-    row = F.map_from_entries(items)
-    out = F.array().cast("array<string>")
+def key_cells(file: Column, items: Column, rules: RuleSet) -> Column:
+    """The pair keys of a row's file in their order: (key, value, there) each; none without keys."""
+    row, columns = F.map_from_entries(items), F.transform(items, lambda e: e["key"])
+    out = F.array().cast(KEYS)
     for name, keys in rules.pair_keys.items():
-        out = F.when(file == name, F.array(*[P.cell(row, k) for k in keys])).otherwise(out)
-    return out
-
-
-def is_keyed(file: Column, items: Column, rules: RuleSet) -> Column:
-    """The row has all of its file's pair keys, so a key match alone is enough."""
-    columns = F.transform(items, lambda e: e["key"])
-    out = F.lit(False)
-    for name, keys in rules.pair_keys.items():
-        has = reduce(lambda a, b: a & b, [F.array_contains(columns, k) for k in keys])
-        out = F.when(file == name, has).otherwise(out)
+        cells = [F.struct(F.lit(k).alias("key"), P.cell(row, k).alias("value"), F.array_contains(columns, k).alias("there")) for k in keys]
+        out = F.when(file == name, F.array(*cells)).otherwise(out)
     return out
 
 
@@ -60,15 +52,38 @@ def needs_topic_check(file: Column, items: Column, rules: RuleSet) -> Column:
 
 
 def prepared(diff: DataFrame, rules: RuleSet) -> DataFrame:
+    """Rows with what pairing asks of them: ``keys`` (see :func:`key_cells`), whether a key match is
+    enough (``keyed``) and whether the topic counts (``listed``)."""
     file, items = F.col("file"), F.col("items")
-    return diff.select(
-        "file", "entity", "items", "side",
-        pair_key(file, items, rules).alias("pair_key"),
-        is_keyed(file, items, rules).alias("keyed"),
-        needs_topic_check(file, items, rules).alias("listed"),
+    out = diff.select("file", "entity", "items", "side", key_cells(file, items, rules).alias("keys"), needs_topic_check(file, items, rules).alias("listed"))
+    return out.withColumn("keyed", (F.size("keys") > 0) & F.forall("keys", lambda k: k["there"]))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """Rows with their group's key values and what else the row demands.
+
+    A removed row asks for the keys it has itself, so a key column that only one snapshot knows keeps no
+    rows apart. The keys that every removed row of a file has part its rows into groups (``pair_key``); a
+    row's further keys (``must``; of an added row, all it may be asked for) are compared pair by pair.
+    """
+    asked = rows.filter("side = 'removed'").select("file", F.explode("keys").alias("k")).groupBy("file", "k.key").agg(F.bool_and("k.there").alias("all"))
+    # As many rows as files with keys, which the rule set lists.
+    common = asked.filter("all").groupBy("file").agg(F.collect_set("key").alias("common"))
+    rows = rows.join(F.broadcast(common), "file", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
+    in_common = lambda k: F.array_contains(F.col("common"), k["key"])
+    plain = lambda keys: F.transform(keys, lambda k: F.struct(k["key"].alias("key"), k["value"].alias("value")))
+    mine = F.filter("keys", lambda k: ~in_common(k) & (k["there"] | (F.col("side") == "added")))
+    return rows.select(
+        "file", "entity", "items", "side", "keyed", "listed",
+        F.transform(F.filter("keys", in_common), lambda k: k["value"]).alias("pair_key"), plain(mine).alias("must"),
     )
 
 
+def meets(must: Column, offered: Column) -> Column:
+    """Every key that the removed row asks for has its value among the added row's."""
+    return F.size(F.array_except(must, offered)) == 0
+
+
 def pair_rows(diff: DataFrame, rules: RuleSet, small_pairs: int = SMALL_GROUP_PAIRS) -> DataFrame:
     """D-3/D-4/D-5 over the output of the set difference.
 
@@ -77,13 +92,14 @@ def pair_rows(diff: DataFrame, rules: RuleSet, small_pairs: int = SMALL_GROUP_PA
     """
     # The changed rows are read several times below; the shuffle of both whole snapshots that
     # finds them must run once.
-    rows = cut_lineage(prepared(diff, rules))
+    rows = grouped(cut_lineage(prepared(diff, rules)))
     removed, added = F.col("side") == "removed", F.col("side") == "added"
     groups = rows.groupBy(*GROUP).agg(
         F.count_if(removed).alias("n_removed"),
         F.count_if(added).alias("n_added"),
-        F.bool_and("keyed").alias("all_keyed"),
-        F.bool_or("listed").alias("any_listed"),
+        F.coalesce(F.bool_and(F.when(removed, F.col("keyed") & (F.size("must") == 0))), F.lit(False)).alias("all_keyed"),
+        F.coalesce(F.bool_or(F.when(removed, F.col("keyed"))), F.lit(False)).alias("any_keyed"),
+        F.coalesce(F.bool_or(F.when(removed, F.col("listed"))), F.lit(False)).alias("any_listed"),
         F.max(F.when(removed, F.col("items"))).alias("one_old"),
         F.max(F.when(added, F.col("items"))).alias("one_new"),
     )
@@ -95,7 +111,7 @@ def pair_rows(diff: DataFrame, rules: RuleSet, small_pairs: int = SMALL_GROUP_PA
         *GROUP,
         F.col("n_removed").cast("bigint").alias("n_removed"),
         F.col("n_added").cast("bigint").alias("n_added"),
-        "any_listed",
+        "any_listed", "any_keyed",
     )
     shape = rest.agg(
         F.count_if((F.col("n_removed") > 0) & (F.col("n_added") > 0) & _is_small(small_pairs)).alias("small"),
@@ -142,17 +158,17 @@ def best_first(edges: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
 def _small_groups(both: DataFrame) -> DataFrame:
     """Bounded groups (size proven by the group counts) solved inside one row each: the scored
     edges are a sorted array and the one-to-one choice is a fold over it."""
-    member = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("items", "keyed"))))
+    member = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("items", "keyed", "must"))))
     g = both.groupBy(*GROUP).agg(member("removed").alias("olds"), member("added").alias("news"))
     column = lambda e: e["key"]
 
     def edge(o: Column, i: Column, n: Column, j: Column) -> Column:
         width = F.size(F.array_union(F.transform(o["items"], column), F.transform(n["items"], column)))
         score = F.size(F.array_intersect(o["items"], n["items"])) / F.greatest(width, F.lit(1))
-        return F.struct((-score).alias("s"), i.alias("i"), j.alias("j"), o["keyed"].alias("keyed"))
+        return F.struct((-score).alias("s"), i.alias("i"), j.alias("j"), o["keyed"].alias("keyed"), meets(o["must"], n["must"]).alias("meets"))
 
     edges = F.flatten(F.transform("olds", lambda o, i: F.transform(F.col("news"), lambda n, j: edge(o, i, n, j))))
-    edges = F.array_sort(F.filter(edges, lambda e: e["keyed"] | (e["s"] <= -MIN_SCORE)))
+    edges = F.array_sort(F.filter(edges, lambda e: e["meets"] & (e["keyed"] | (e["s"] <= -MIN_SCORE))))
     ints = F.array().cast("array<int>")
     start = F.struct(ints.alias("l"), ints.alias("r"))
 
@@ -187,11 +203,12 @@ def _small_listed_groups(both: DataFrame) -> DataFrame:
         news = [k for k in order if pdf["side"].iat[k] == "added"]
         sets = [set(items) for items in as_items]
         names = [{c for c, _ in items} for items in as_items]
+        must = [{(e["key"], e["value"]) for e in cells} for cells in pdf["must"]]
         edges = []
         for i, o in enumerate(olds):
             for j, n in enumerate(news):
                 score = len(sets[o] & sets[n]) / max(len(names[o] | names[n]), 1)
-                if score < MIN_SCORE and not pdf["keyed"].iat[o]:
+                if score < MIN_SCORE and not pdf["keyed"].iat[o] or not must[o] <= must[n]:
                     continue
                 if pdf["listed"].iat[o]:
                     a, b = pdf["canon"].iat[o], pdf["canon"].iat[n]
@@ -226,29 +243,29 @@ def _remark(items: Column) -> Column:
 # --- way 3: unbounded groups ----------------------------------------------------------------
 
 def large_groups(rows: DataFrame) -> DataFrame:
-    """Groups of any size. Input as ``prepared`` plus the group counts."""
-    rows = cut_lineage(rows.withColumn("gid", F.md5(F.to_json(F.struct(*GROUP)))))
-    classes, members = _classes(rows)
-    edges = _class_edges(rows, classes)
-    matched = match_classes(edges, members)
-    key = ["gid", "side", "items"]
-    olds = matched.select("gid", F.col("old_items").alias("items"), F.lit("removed").alias("side"))
-    news = matched.select("gid", F.col("new_items").alias("items"), F.lit("added").alias("side"))
-    left = rows.join(olds.unionByName(news), key, "left_anti")
-    # Where no overlap is required (keyed, or constants alone reach the bar) the rows that
-    # share nothing more all tie: they pair in sorted order.
-    free = left.join(_thresholds(rows).filter(F.col("need") <= 0).select("gid"), "gid")
-    zipped = _zip_sides(free)
-    done = matched.unionByName(zipped)
-    olds = done.select("gid", F.col("old_items").alias("items"), F.lit("removed").alias("side"))
-    news = done.select("gid", F.col("new_items").alias("items"), F.lit("added").alias("side"))
-    single = rows.join(olds.unionByName(news), key, "left_anti").select(
+    """Groups of any size. Input as ``grouped`` plus the group counts."""
+    rows = cut_lineage(rows.withColumn("gid", F.md5(F.to_json(F.struct(*GROUP)))).withColumn("columns", F.transform("items", lambda e: e["key"])))
+    constants = _constants(rows)
+    classes, members = _classes(rows, constants)
+    matched = match_classes(_class_edges(classes), members)
+    while True:
+        key = ["gid", "side", "items"]
+        olds = matched.select("gid", F.col("old_items").alias("items"), F.lit("removed").alias("side"))
+        news = matched.select("gid", F.col("new_items").alias("items"), F.lit("added").alias("side"))
+        left = cut_lineage(rows.join(olds.unionByName(news), key, "left_anti"))
+        # What is left shares nothing but what all rows share: where that is enough, rows of the same
+        # columns all tie and pair in sorted order, the narrowest columns first.
+        zipped = cut_lineage(_zip_sides(left.join(constants, "gid")))
+        if zipped.isEmpty():
+            break
+        matched = cut_lineage(matched.unionByName(zipped))
+    names = rows.select("gid", "file", "entity").distinct()
+    single = left.select(
         "file", "entity",
         F.when(F.col("side") == "removed", F.col("items")).alias("old_items"),
         F.when(F.col("side") == "added", F.col("items")).alias("new_items"),
     )
-    names = rows.select("gid", "file", "entity").distinct()
-    return done.join(names, "gid").select("file", "entity", "old_items", "new_items").unionByName(single)
+    return matched.join(names, "gid").select("file", "entity", "old_items", "new_items").unionByName(single)
 
 
 def _item_counts(rows: DataFrame) -> DataFrame:
@@ -262,69 +279,64 @@ def _item_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def _thresholds(rows: DataFrame) -> DataFrame:
-    """Per group: items every row shares, width of the column union, and the number of further
-    shared items a pair needs."""
+def _constants(rows: DataFrame) -> DataFrame:
+    """Per group how many items every row of both sides has."""
     counts = _item_counts(rows)
     constant = counts.filter((F.col("l") == F.col("n_removed")) & (F.col("r") == F.col("n_added")))
-    constants = constant.groupBy("gid").agg(F.count(F.lit(1)).alias("constants"))
-    width = (
-        rows.select("gid", "keyed", F.explode("items").alias("item"))
-        .groupBy("gid", F.col("item.key").alias("column"))
-        .agg(F.bool_and("keyed").alias("keyed"))
-        .groupBy("gid")
-        .agg(F.count(F.lit(1)).alias("width"), F.bool_and("keyed").alias("keyed"))
-    )
-    need = F.when(F.col("keyed"), F.lit(0)).otherwise(F.ceil(F.col("width") * F.lit(MIN_SCORE)) - F.col("constants"))
-    return (
-        width.join(constants, "gid", "left")
-        .withColumn("constants", F.coalesce("constants", F.lit(0)))
-        .select("gid", "width", "constants", need.cast("int").alias("need"))
-    )
+    found = constant.groupBy("gid").agg(F.count(F.lit(1)).cast("int").alias("constants"))
+    return cut_lineage(rows.select("gid").distinct().join(found, "gid", "left").select("gid", F.coalesce("constants", F.lit(0)).alias("constants")))
+
 
+def _classes(rows: DataFrame, constants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that share the same comparable items, columns, demands and (where topics count)
+    remark are one class: every partner scores them alike, so only their sorted order tells them apart.
 
-def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that share the same comparable items are one class: every partner scores them
-    alike, so only their sorted order tells them apart."""
-    rows_id = rows.select("gid", "side", "items", "listed")
+    ``need``: shared items beyond the constant ones that a partner must bring at least.
+    """
+    rows_id = rows.select("gid", "side", "items", "columns", "must", "keyed", "listed", "any_keyed", "any_listed")
     counts = _item_counts(rows)
     useful = counts.filter(~((F.col("l") == F.col("n_removed")) & (F.col("r") == F.col("n_added"))))
     useful = useful.select("gid", "item", (F.col("l") * F.col("r")).alias("freq"))
     exploded = rows_id.select("gid", "side", "items", F.explode("items").alias("item")).join(useful, ["gid", "item"])
     # bounded by the number of columns of one row
     sig = exploded.groupBy("gid", "side", "items").agg(F.array_sort(F.collect_list(F.struct("freq", "item"))).alias("sig"))
-    guard = F.when(F.col("listed"), _remark(F.col("items")))
-    members = sig.join(rows_id, ["gid", "side", "items"]).withColumn("guard", guard).withColumn(
-        "cid", F.md5(F.to_json(F.struct("side", "sig", "guard")))
-    )
-    members = cut_lineage(members.select("gid", "side", "cid", "items", "sig", "guard"))
-    classes = members.groupBy("gid", "side", "cid").agg(
-        F.first("sig").alias("sig"), F.first("guard").alias("guard"), F.count(F.lit(1)).alias("size")
+    removed = F.col("side") == "removed"
+    members = sig.join(rows_id, ["gid", "side", "items"]).join(constants, "gid").select(
+        "gid", "side", "items", "sig", "columns", "must", "constants",
+        (removed & F.col("keyed")).alias("keyed"), (removed & F.col("listed")).alias("listed"),
+        F.when(F.col("any_listed"), _remark(F.col("items"))).alias("guard"),
+        F.when(F.when(removed, F.col("keyed")).otherwise(F.col("any_keyed")), 0)
+        .otherwise(F.ceil(F.size("columns") * F.lit(MIN_SCORE)).cast("int") - F.col("constants")).alias("need"),
     )
+    told = ["sig", "columns", "must", "keyed", "listed", "guard", "constants", "need"]
+    members = cut_lineage(members.withColumn("cid", F.md5(F.to_json(F.struct("side", *told)))))
+    classes = members.groupBy("gid", "side", "cid").agg(*[F.any_value(c).alias(c) for c in told])
     return classes, members.select("gid", "side", "cid", "items")
 
 
-def _class_edges(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _class_edges(classes: DataFrame) -> DataFrame:
     """Candidate class pairs: an inverted index on items, cut to the rarest-items prefix that
     any pair reaching the bar must share (all items where no overlap is required)."""
-    bars = _thresholds(rows)
-    ready = classes.join(bars, "gid")
     prefix = F.when(F.col("need") <= 0, F.size("sig")).otherwise(F.size("sig") - F.col("need") + 1)
-    index = ready.filter((F.col("need") <= 0) | (F.size("sig") >= F.col("need"))).select(
+    index = classes.filter((F.col("need") <= 0) | (F.size("sig") >= F.col("need"))).select(
         "gid", "side", "cid", F.explode(F.transform(F.slice("sig", 1, F.greatest(prefix, F.lit(0))), lambda s: s["item"])).alias("item")
     )
     left = index.filter(F.col("side") == "removed").select("gid", "item", F.col("cid").alias("l"))
     right = index.filter(F.col("side") == "added").select("gid", "item", F.col("cid").alias("r"))
     candidates = left.join(right, ["gid", "item"]).select("gid", "l", "r").distinct()
-    side = lambda s, n: classes.filter(F.col("side") == s).select(
-        "gid", F.col("cid").alias(n), F.col("sig").alias(f"{n}_sig"), F.col("guard").alias(f"{n}_guard")
-    )
-    scored = candidates.join(side("removed", "l"), ["gid", "l"]).join(side("added", "r"), ["gid", "r"]).join(bars, "gid")
+    own = ["sig", "columns", "must", "keyed", "listed", "guard", "constants"]
+    side = lambda s, n: classes.filter(F.col("side") == s).select("gid", F.col("cid").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in own])
+    scored = candidates.join(side("removed", "l"), ["gid", "l"]).join(side("added", "r"), ["gid", "r"])
     shared = F.size(F.array_intersect(F.transform("l_sig", lambda s: s["item"]), F.transform("r_sig", lambda s: s["item"])))
-    scored = scored.withColumn("shared", shared).filter(F.col("shared") >= F.greatest("need", F.lit(1)))
-    guarded = F.col("l_guard").isNotNull() & F.col("r_guard").isNotNull()
-    stranger = T.unrelated(F.when(guarded, F.col("l_guard")), F.when(guarded, F.col("r_guard")))
-    return scored.filter(~F.coalesce(stranger, F.lit(False))).select("gid", "l", "r", "shared")
+    width = F.greatest(F.size(F.array_union("l_columns", "r_columns")), F.lit(1))
+    scored = scored.withColumn("score", (shared + F.col("l_constants")) / width)
+    scored = scored.filter((F.col("l_keyed") | (F.col("score") >= MIN_SCORE)) & meets(F.col("l_must"), F.col("r_must")))
+    return scored.filter(~_strangers(F.col("l_listed"), F.col("l_guard"), F.col("r_guard"))).select("gid", "l", "r", "score")
+
+
+def _strangers(listed: Column, old: Column, new: Column) -> Column:
+    """D-5: the removed row is a list remark and the added one is about something else."""
+    return F.coalesce(T.unrelated(F.when(listed, old), F.when(listed, new)), F.lit(False))
 
 
 def match_classes(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -359,13 +371,13 @@ def match_classes(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _round(edges: DataFrame, alive: DataFrame) -> DataFrame:
-    top_l = edges.groupBy("gid", "l").agg(F.max("shared").alias("best_l"))
-    top_r = edges.groupBy("gid", "r").agg(F.max("shared").alias("best_r"))
+    top_l = edges.groupBy("gid", "l").agg(F.max("score").alias("best_l"))
+    top_r = edges.groupBy("gid", "r").agg(F.max("score").alias("best_r"))
     best = edges.join(top_l, ["gid", "l"]).join(top_r, ["gid", "r"])
-    best = best.filter((F.col("shared") == F.col("best_l")) & (F.col("shared") == F.col("best_r"))).select("gid", "l", "r", "shared")
+    best = best.filter((F.col("score") == F.col("best_l")) & (F.col("score") == F.col("best_r"))).select("gid", "l", "r", "score")
     # edges at a class's best score whose other end has something better still block it
-    wanted_l = edges.join(top_l, ["gid", "l"]).filter(F.col("shared") == F.col("best_l")).groupBy("gid", "l").agg(F.count(F.lit(1)).alias("deg_l"))
-    wanted_r = edges.join(top_r, ["gid", "r"]).filter(F.col("shared") == F.col("best_r")).groupBy("gid", "r").agg(F.count(F.lit(1)).alias("deg_r"))
+    wanted_l = edges.join(top_l, ["gid", "l"]).filter(F.col("score") == F.col("best_l")).groupBy("gid", "l").agg(F.count(F.lit(1)).alias("deg_l"))
+    wanted_r = edges.join(top_r, ["gid", "r"]).filter(F.col("score") == F.col("best_r")).groupBy("gid", "r").agg(F.count(F.lit(1)).alias("deg_r"))
     best = best.join(wanted_l, ["gid", "l"]).join(wanted_r, ["gid", "r"])
     sum_l = best.groupBy("gid", "l").agg(F.max("deg_r").alias("max_deg_r"), F.count(F.lit(1)).alias("mutual_l"))
     sum_r = best.groupBy("gid", "r").agg(F.max("deg_l").alias("max_deg_l"), F.count(F.lit(1)).alias("mutual_r"))
@@ -411,12 +423,26 @@ def _first_members(tied: DataFrame, alive: DataFrame) -> DataFrame:
 
 
 def _zip_sides(rows: DataFrame) -> DataFrame:
-    side = lambda s: ordinal(rows.filter(F.col("side") == s).select("gid", "items", "listed"), ["gid"], ["items"], "n")
-    old = side("removed").withColumnRenamed("items", "old_items")
-    new = side("added").drop("listed").withColumnRenamed("items", "new_items")
-    both = old.join(new, ["gid", "n"])
-    stranger = T.unrelated(F.when(F.col("listed"), _remark(F.col("old_items"))), F.when(F.col("listed"), _remark(F.col("new_items"))))
-    return both.filter(~F.coalesce(stranger, F.lit(False))).select("gid", "old_items", "new_items")
+    """Pairs of rows that share the constant items only: per group, the column sets of the best score that
+    is high enough (of equal ones the first), zipped in sorted order. Called until nothing is found.
+
+    A removed row that asks for a key or a topic of its own is compared with the row it meets; a pair
+    that fails stays apart.
+    """
+    of = lambda s, n: rows.filter(F.col("side") == s).groupBy("gid", F.col("columns").alias(n)).agg(
+        F.any_value("constants").alias("constants"), F.coalesce(F.bool_or(F.when(F.col("side") == "removed", F.col("keyed"))), F.lit(False)).alias("keyed")
+    )
+    kinds = of("removed", "old_columns").join(of("added", "new_columns").drop("constants", "keyed"), "gid")
+    kinds = kinds.withColumn("score", F.col("constants") / F.greatest(F.size(F.array_union("old_columns", "new_columns")), F.lit(1)))
+    best = kinds.filter(F.col("keyed") | (F.col("score") >= MIN_SCORE)).groupBy("gid").agg(
+        F.min(F.struct((-F.col("score")).alias("s"), "old_columns", "new_columns")).alias("kind")
+    ).select("gid", "kind.s", "kind.old_columns", "kind.new_columns")
+    old = rows.filter("side = 'removed'").join(best, "gid").filter((F.col("columns") == F.col("old_columns")) & (F.col("keyed") | (F.col("s") <= -MIN_SCORE)))
+    new = rows.filter("side = 'added'").join(best, "gid").filter(F.col("columns") == F.col("new_columns"))
+    old = ordinal(old.select("gid", "items", "listed", "must"), ["gid"], ["items"], "n").withColumnRenamed("items", "old_items")
+    new = ordinal(new.select("gid", "items", F.col("must").alias("offered")), ["gid"], ["items"], "n").withColumnRenamed("items", "new_items")
+    both = old.join(new, ["gid", "n"]).filter(meets(F.col("must"), F.col("offered")))
+    return both.filter(~_strangers(F.col("listed"), _remark(F.col("old_items")), _remark(F.col("new_items")))).select("gid", "old_items", "new_items")
 
 
 # --- assignment over given edges ------------------------------------------------------------
