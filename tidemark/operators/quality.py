@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import cycles
 from tidemark.functions import predicates as P
+from tidemark.operators.skew import ordinal_within
 
 # --- Fixed values: thresholds ---------------------------------------------------------------
 DROP_ERROR, DROP_WARNING = 0.10, 0.05
@@ -60,9 +63,11 @@ def row_counts(rows: DataFrame, cycle: str = "cycle", file: str = "file") -> Dat
     return rows.groupBy(cycle, file).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def input_gate(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A-3 + Q-2: tables whose row count moved too much. Inputs ``file, rows``."""
-    j = old.select("file", F.col("rows").alias("old_rows")).join(new.select("file", F.col("rows").alias("new_rows")), "file", "full_outer")
+def input_gate(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
+    """A-3 + Q-2: tables whose row count moved too much. Inputs ``file, rows``; with the cycle among the
+    keys, many pairs of snapshots are judged at once."""
+    keys = list(keys)
+    j = old.select(*keys, F.col("rows").alias("old_rows")).join(new.select(*keys, F.col("rows").alias("new_rows")), keys, "full_outer")
     a, b = F.col("old_rows"), F.col("new_rows")
     change = (b - a) / F.nullif(a, F.lit(0))
     fresh = a.isNull() | (a == 0)
@@ -77,7 +82,7 @@ def input_gate(old: DataFrame, new: DataFrame) -> DataFrame:
         .when(change > RISE_WARNING, "warning: rose")
     )
     return j.withColumn("verdict", verdict).filter(F.col("verdict").isNotNull()).select(
-        "file", "old_rows", "new_rows", F.substring_index("verdict", ": ", 1).alias("level"), F.substring_index("verdict", ": ", -1).alias("reason")
+        *keys, "old_rows", "new_rows", F.substring_index("verdict", ": ", 1).alias("level"), F.substring_index("verdict", ": ", -1).alias("reason")
     )
 
 
@@ -208,9 +213,11 @@ def run_verdicts(runs: DataFrame) -> DataFrame:
         .when(F.col("outcome") == "built", "waiting")
         .otherwise("unknown")
     )
-    before = Window.partitionBy("feed").orderBy("started_at", "run_id")
-    silent = (F.lag("engine_hash").over(before) != F.col("engine_hash")) & (F.lag("version").over(before) == F.col("version"))
-    return runs.withColumn("verdict", verdict).withColumn("unbumped", F.coalesce(silent, F.lit(False)))
+    numbered = ordinal_within(runs, ["feed"], ["started_at", "run_id"], "__n")
+    before = numbered.select("feed", (F.col("__n") + 1).alias("__n"), F.col("engine_hash").alias("__hash"), F.col("version").alias("__version"))
+    silent = (F.col("__hash") != F.col("engine_hash")) & (F.col("__version") == F.col("version"))
+    out = numbered.join(before, ["feed", "__n"], "left").withColumn("verdict", verdict)
+    return out.withColumn("unbumped", F.coalesce(silent, F.lit(False))).select(*runs.columns, "verdict", "unbumped")
 
 
 def run_tallies(judged: DataFrame, last: int = 30) -> DataFrame:

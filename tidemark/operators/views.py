@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.rank import priority_order
-from tidemark.operators.skew import first_per_key, top_k
+from tidemark.operators.skew import first_per_key, ordinal_within, top_k
 
 # --- Fixed values ---------------------------------------------------------------------------
 KEEP_CYCLES = 13
@@ -83,13 +83,13 @@ def top_change(changes: DataFrame) -> DataFrame:
 
 
 def list_rows(changes: DataFrame, members: DataFrame) -> DataFrame:
-    """W-9: per (list, cycle) its entities by actions, then changes, then id. Each list is a
-    curated set of entities, so the window holds members, not changes."""
+    """W-9: per (list, cycle) its entities by actions, then changes, then id. A list may hold any number
+    of entities: they are numbered without a task per list."""
     n = members.select("slug", "entity").distinct().join(changes, "entity").groupBy("slug", "cycle", "entity").agg(
         F.count_if(F.col("priority") == "action").alias("actions"), F.count(F.lit(1)).alias("total")
     )
-    order = Window.partitionBy("slug", "cycle").orderBy(F.desc("actions"), F.desc("total"), F.asc("entity"))
-    return n.withColumn("place", F.row_number().over(order))
+    n = n.withColumns({"__a": -F.col("actions"), "__t": -F.col("total")})
+    return ordinal_within(n, ["slug", "cycle"], ["__a", "__t", "entity"], "place").drop("__a", "__t")
 
 
 def watchlist_totals(changes: DataFrame, members: DataFrame) -> DataFrame:

@@ -65,12 +65,12 @@ def schedule_diff(spark, sf):
 
 # --- C-6 --------------------------------------------------------------------------------------
 @query(f"""
-WITH o AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'A')
+WITH o AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag <> 'R')
 SELECT CAST(s AS VARCHAR) AS entity, 'PART ' || p AS remark FROM o WHERE (s, p) IN (SELECT s, p FROM n)
 UNION ALL SELECT CAST(s AS VARCHAR), 'PART ' || p FROM n WHERE (s, p) IN (SELECT s, p FROM o)""")
 def refiled_text(spark, sf):
-    """Texts both removed (returned) and added (accepted) at a supplier say nothing."""
-    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("R", "A"))
+    """Texts both removed (returned) and added (any other line) at a supplier say nothing."""
+    li = table(spark, sf, "lineitem")
     kind = F.when(F.col("l_returnflag") == "R", "removed").otherwise("added")
     r = li.select(F.col("l_suppkey").cast("string").alias("entity"), kind.alias("kind"), F.concat(F.lit("PART "), F.col("l_partkey").cast("string")).alias("t")).distinct()
     records = collapse.event(r, entity=F.col("entity"), source=F.lit("APT_RMK"), kind=F.col("kind"), priority=F.lit("fyi"), row=F.create_map(F.lit("REMARK"), F.col("t")))
@@ -83,14 +83,14 @@ def refiled_text(spark, sf):
 WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS entity, c_name AS old, CASE WHEN c_mktsegment = 'FURNITURE' THEN c_name || ' LTD' ELSE c_name END AS new FROM customer),
 o AS (SELECT CAST(o_custkey AS VARCHAR) AS entity, CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS s FROM orders),
 f AS (SELECT entity, k, 'FACILITY_NAME' AS field FROM o JOIN c USING (entity) WHERE c.old <> c.new AND s = 'O'
-      UNION ALL SELECT entity, k, 'TWR_HRS' FROM o WHERE s IN ('O', 'F'))
+      UNION ALL SELECT entity, k, 'TWR_HRS' FROM o)
 SELECT entity, k, field FROM f WHERE field <> 'FACILITY_NAME' OR NOT EXISTS (SELECT 1 FROM c WHERE c.entity = f.entity AND c.old <> c.new)""")
 def echo_removal(spark, sf):
     """A customer's new name is told once; orders that repeat it lose that edit."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("entity"), F.col("c_name").alias("old"), F.when(F.col("c_mktsegment") == "FURNITURE", F.concat("c_name", F.lit(" LTD"))).otherwise(F.col("c_name")).alias("new"))
     edit = lambda f, o, n: F.struct(F.lit(f).alias("field"), o.alias("old"), n.alias("new"))
     base = collapse.event(c.filter("old <> new"), entity=F.col("entity"), source=F.lit("APT_BASE"), kind=F.lit("changed"), priority=F.lit("fyi"), fields=F.array(edit("ARPT_NAME", F.col("old"), F.col("new"))))
-    o = table(spark, sf, "orders").filter(F.col("o_orderstatus").isin("O", "F")).select(F.col("o_custkey").cast("string").alias("entity"), F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderstatus").alias("s"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("entity"), F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderstatus").alias("s"))
     j = o.join(c, "entity", "left")
     named = F.when((F.col("s") == "O") & (F.col("old") != F.col("new")), F.array(edit("FACILITY_NAME", F.col("old"), F.col("new")))).otherwise(F.array().cast(collapse.FIELD))
     rows = collapse.event(j, entity=F.col("entity"), source=F.lit("ATC_BASE"), kind=F.lit("changed"), priority=F.lit("fyi"), key=F.col("k"), fields=F.concat(named, F.array(edit("TWR_HRS", F.lit("1"), F.lit("2")))))
@@ -100,14 +100,14 @@ def echo_removal(spark, sf):
 
 # --- C-11 -------------------------------------------------------------------------------------
 @query(f"""
-WITH lost AS (SELECT o_custkey AS entity, o_orderpriority AS use, o_orderkey AS v FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00'),
-gained AS (SELECT o_custkey AS entity, o_orderpriority AS use, o_orderkey AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01 00:00:00'),
+WITH lost AS (SELECT o_custkey AS entity, o_orderpriority AS use, o_orderkey AS v FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01 00:00:00'),
+gained AS (SELECT o_custkey AS entity, o_orderpriority AS use, o_orderkey AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'),
 l AS (SELECT entity, use, min(v) AS old FROM lost GROUP BY ALL HAVING count(*) = 1), g AS (SELECT entity, use, min(v) AS new FROM gained GROUP BY ALL HAVING count(*) = 1)
 SELECT entity, use, old, new FROM l JOIN g USING (entity, use)""")
 def moved_attribute(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("use"), F.col("o_orderkey").alias("value"), F.col("o_orderkey").alias("rid"), F.lit("fyi").alias("priority"), "o_orderdate")
     ts = lambda d: F.lit(d).cast("timestamp_ntz")
-    out = collapse.moved_once(o.filter(F.col("o_orderdate") < ts("1997-01-01")), o.filter(F.col("o_orderdate") >= ts("1999-01-01")), ["entity", "use"])
+    out = collapse.moved_once(o.filter(F.col("o_orderdate") < ts("1998-01-01")), o.filter(F.col("o_orderdate") >= ts("1998-01-01")), ["entity", "use"])
     return out.select("entity", "use", F.col("old_value").alias("old"), F.col("new_value").alias("new"))
 
 

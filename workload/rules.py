@@ -46,12 +46,12 @@ def row_cleaning(spark, sf):
 
 # --- S-4, S-8, P-1 ----------------------------------------------------------------------------
 @query("""
-WITH m AS (SELECT DISTINCT year(o_orderdate) AS cycle, o_orderpriority AS p FROM orders WHERE o_totalprice > 495000)
+WITH m AS (SELECT DISTINCT o_custkey AS cycle, o_orderpriority AS p FROM orders)
 SELECT c.cycle, f.p AS file FROM (SELECT DISTINCT cycle FROM m) c, (SELECT DISTINCT o_orderpriority AS p FROM orders) f WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.cycle = c.cycle AND m.p = f.p)""")
 def required_tables(spark, sf):
-    """Years whose largest orders lack a priority class, as snapshots that lack a table."""
-    o = table(spark, sf, "orders").filter("o_totalprice > 495000")
-    found = o.select(F.year("o_orderdate").cast("bigint").alias("cycle"), P.file_base(F.concat("o_orderpriority", F.lit(".csv"))).alias("file"))
+    """Customers without an order of some priority class, as snapshots that lack a table."""
+    o = table(spark, sf, "orders")
+    found = o.select(F.col("o_custkey").alias("cycle"), P.file_base(F.concat("o_orderpriority", F.lit(".csv"))).alias("file"))
     return archive.missing_files(found, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
 
 
@@ -140,14 +140,14 @@ def runway_renumbering(spark, sf):
 
 # --- C-8 --------------------------------------------------------------------------------------
 @query("""
-WITH t AS (SELECT CAST(l_suppkey AS VARCHAR) AS entity, 'PART ' || l_partkey AS t, l_returnflag = 'R' AS is_table, count(*) FILTER (l_returnflag = 'N' AND l_linenumber = 1) > 0 AS act, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag, l_linenumber FROM lineitem WHERE l_returnflag IN ('R', 'N')) GROUP BY ALL),
+WITH t AS (SELECT CAST(l_suppkey AS VARCHAR) AS entity, 'PART ' || l_partkey AS t, l_returnflag = 'R' AS is_table, count(*) FILTER (l_returnflag <> 'R' AND l_linenumber = 1) > 0 AS act, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag, l_linenumber FROM lineitem) GROUP BY ALL),
 g AS (SELECT entity, t, bool_or(is_table) AS told, bool_or(act) AS act, sum(n) FILTER (is_table) AS tables, sum(n) FILTER (NOT is_table) AS edits FROM t GROUP BY ALL)
 SELECT entity, t AS remark, CASE WHEN told THEN 'APT_RMK' ELSE 'FRQ' END AS source, CASE WHEN act THEN 'action' ELSE 'fyi' END AS priority, CAST(CASE WHEN told THEN tables ELSE 1 END AS BIGINT) AS n FROM g""")
 def remarks_said_once(spark, sf):
-    """A part's remark in the remark table (returned lines) and on frequency rows (new lines)."""
-    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("R", "N")).select("l_suppkey", "l_partkey", "l_returnflag", "l_linenumber").distinct()
+    """A part's remark in the remark table (returned lines) and on frequency rows (other lines)."""
+    li = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_returnflag") == "R").alias("in_table"), "l_linenumber").distinct()
     text = F.concat(F.lit("PART "), s(F.col("l_partkey")))
-    in_table = F.col("l_returnflag") == "R"
+    in_table = F.col("in_table")
     edit = F.array(F.struct(F.lit("REMARK").alias("field"), F.lit("").alias("old"), text.alias("new")))
     records = collapse.event(
         li, entity=s(F.col("l_suppkey")), source=F.when(in_table, "APT_RMK").otherwise("FRQ"), kind=F.when(in_table, "added").otherwise("changed"),
@@ -177,13 +177,13 @@ def whole_with_parts(spark, sf):
 
 # --- C-9 --------------------------------------------------------------------------------------
 @query("""
-WITH f AS (SELECT DISTINCT l_suppkey AS e, s_nationkey AS c, CASE l_returnflag WHEN 'R' THEN 'removed' ELSE 'added' END AS kind, 'SITE ' || l_linenumber AS site, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS freq FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag <> 'A'),
+WITH f AS (SELECT DISTINCT l_suppkey AS e, s_nationkey AS c, CASE l_returnflag WHEN 'R' THEN 'removed' ELSE 'added' END AS kind, 'SITE ' || l_linenumber AS site, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS freq FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
 s AS (SELECT e, c, kind, 'Site' || substr(site, 5) || ' RCAG ' || string_agg(freq, ', ' ORDER BY freq) AS said FROM f GROUP BY e, c, kind, site),
 g AS (SELECT e, c, coalesce(string_agg(said, ' and ' ORDER BY said) FILTER (kind = 'removed'), '') AS gone, coalesce(string_agg(said, ' and ' ORDER BY said) FILTER (kind = 'added'), '') AS come FROM s GROUP BY ALL)
 SELECT CAST(e AS VARCHAR) AS entity, CASE WHEN gone <> '' AND come <> '' THEN 'changed' WHEN come <> '' THEN 'added' ELSE 'removed' END AS kind,
  CASE WHEN gone <> '' AND come <> '' THEN 'center (ARTCC ' || c || ') frequencies: ' || gone || ' -> ' || come WHEN come <> '' THEN 'new center (ARTCC ' || c || ') frequencies: ' || come ELSE 'center (ARTCC ' || c || ') frequencies discontinued: ' || gone END || '; RCAG' AS summary FROM g""")
 def centre_sites(spark, sf):
-    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag") != "A").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     row = row_of(FACILITY_TYPE="RCAG", ARTCC_OR_FSS_ID=s(F.col("s_nationkey")), FACILITY=F.concat(F.lit("SITE "), s(F.col("l_linenumber"))), FREQ=s(F.col("l_quantity").cast("int")))
     kind = F.when(F.col("l_returnflag") == "R", "removed").otherwise("added")
     records = collapse.event(li, entity=s(F.col("l_suppkey")), source=F.lit("FRQ"), kind=kind, priority=F.lit("action"), row=row)
@@ -193,12 +193,12 @@ def centre_sites(spark, sf):
 
 # --- C-12 -------------------------------------------------------------------------------------
 @query("""
-WITH f AS (SELECT DISTINCT l_suppkey AS e, 'F' || l_linenumber AS freq, 'P' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS p FROM lineitem WHERE l_returnflag = 'N'),
+WITH f AS (SELECT DISTINCT l_suppkey AS e, 'F' || l_linenumber AS freq, 'P' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS p FROM lineitem),
 n AS (SELECT e, freq, list_sort(list(p)) AS ps FROM f GROUP BY ALL),
 t AS (SELECT e, freq || ' for ' || CASE WHEN len(ps) = 1 THEN ps[1] ELSE array_to_string(ps[1:len(ps) - 1], ', ') || ' and ' || ps[len(ps)] END AS part FROM n)
 SELECT CAST(e AS VARCHAR) AS entity, 'frequencies now also listed for arrivals (STARs): ' || string_agg(part, '; ' ORDER BY part) AS summary FROM t GROUP BY e""")
 def procedure_listings(spark, sf):
-    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "N")
+    li = table(spark, sf, "lineitem")
     row = row_of(FREQ=F.concat(F.lit("F"), s(F.col("l_linenumber"))), FREQ_USE=F.concat(F.lit("P"), s(F.col("l_quantity").cast("int")), F.lit(" STAR")))
     records = collapse.event(li, entity=s(F.col("l_suppkey")), source=F.lit("FRQ"), kind=F.lit("added"), priority=F.lit("fyi"), row=row)
     events, _ = collapse.listings(records)
@@ -266,7 +266,7 @@ def row_templates(spark, sf):
 
 # --- D-14 -------------------------------------------------------------------------------------
 @query("""
-WITH o AS (SELECT DISTINCT o_custkey AS doc, year(o_orderdate) * 100 + month(o_orderdate) AS alt FROM orders WHERE o_orderstatus = 'O'), n AS (SELECT DISTINCT o_custkey AS doc, year(o_orderdate) * 100 + month(o_orderdate) AS alt FROM orders WHERE o_orderstatus = 'F'),
+WITH o AS (SELECT DISTINCT o_custkey AS doc, year(o_orderdate) * 100 + month(o_orderdate) AS alt FROM orders WHERE o_orderstatus = 'O'), n AS (SELECT DISTINCT o_custkey AS doc, year(o_orderdate) * 100 + month(o_orderdate) AS alt FROM orders WHERE o_orderstatus <> 'O'),
 r AS (SELECT doc FROM o INTERSECT SELECT doc FROM n), g AS (SELECT * FROM o EXCEPT SELECT * FROM n), c AS (SELECT * FROM n EXCEPT SELECT * FROM o),
 near AS (SELECT g.doc, g.alt AS g, c.alt AS c FROM g JOIN c ON g.doc = c.doc AND abs(g.alt - c.alt) <= 200),
 p AS (SELECT doc, g, c FROM (SELECT *, count(*) OVER (PARTITION BY doc, g) AS ng, count(*) OVER (PARTITION BY doc, c) AS nc FROM near) WHERE ng = 1 AND nc = 1),
@@ -277,9 +277,9 @@ def minimum_moves(spark, sf):
     o = table(spark, sf, "orders")
     alt = s(F.year("o_orderdate") * 100 + F.month("o_orderdate"))
     none = F.lit(None).cast("string")
-    side = lambda st: o.filter(F.col("o_orderstatus") == st).select(F.col("o_custkey").alias("doc"), alt.alias("alt"), none.alias("rvr"), none.alias("vis")).distinct()
+    side = lambda which: o.filter(which).select(F.col("o_custkey").alias("doc"), alt.alias("alt"), none.alias("rvr"), none.alias("vis")).distinct()
     seen = o.filter("false").select(F.col("o_custkey").alias("doc"), alt.alias("value"))
-    return charts.minimum_changes(side("O"), side("F"), seen, seen).select("doc", "old", "new")
+    return charts.minimum_changes(side("o_orderstatus = 'O'"), side("o_orderstatus <> 'O'"), seen, seen).select("doc", "old", "new")
 
 
 # --- A-5, T-11, T-12 --------------------------------------------------------------------------
@@ -313,7 +313,7 @@ def gate_precedence(spark, sf):
     log = change_log(spark, sf)
     pairs = log.select(F.col("cycle").alias("from_cycle"), F.date_add("cycle", 28).alias("to_cycle")).distinct()
     cycle = quality.cycle_gate(pairs, F.lit("2030-01-01").cast("date"), anchor="2024-01-01")
-    volume = quality.volume_gate(log, quality.past_action_counts(log, F.lit(CURRENT).cast("date")), min_entities=1000000)
+    volume = quality.volume_gate(log, quality.past_action_counts(log, F.lit(CURRENT).cast("date")), min_entities=500)
     return quality.combine_gates(cycle, volume).groupBy("level", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -149,12 +149,12 @@ def review_recording(spark, sf):
 i AS (SELECT DISTINCT entity FROM log), d AS (SELECT DISTINCT entity FROM log WHERE priority = 'action'), dir AS (SELECT c_custkey AS entity FROM customer WHERE c_acctbal > 0)
 SELECT 'in index without a document' AS problem, entity FROM i WHERE entity NOT IN (SELECT entity FROM d)
 UNION ALL SELECT 'not in directory', entity FROM i WHERE entity NOT IN (SELECT entity FROM dir)
-UNION ALL SELECT 'directory too small', NULL FROM (SELECT count(*) AS n FROM dir) WHERE n < 1000000000""")
+UNION ALL SELECT 'directory too small', NULL FROM (SELECT count(*) AS n FROM dir) WHERE n < 1000""")
 def output_completeness(spark, sf):
     log = change_log(spark, sf)
     meta = log.agg(F.count_distinct("entity").alias("changed"))
     directory = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("entity"))
-    out = quality.completeness(meta, log, log.filter(F.col("priority") == "action"), directory, min_directory=1000000000)
+    out = quality.completeness(meta, log, log.filter(F.col("priority") == "action"), directory, min_directory=1000)
     return out.withColumn("entity", F.col("entity").cast("bigint"))
 
 

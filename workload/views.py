@@ -253,16 +253,19 @@ def cycle_volume_gate(spark, sf):
 @query(f"""
 WITH f AS (SELECT o_orderpriority || ' ' || o_orderstatus AS file, year(o_orderdate) AS cycle FROM orders),
 c AS (SELECT file, cycle, count(*) AS n FROM f GROUP BY ALL),
-j AS (SELECT coalesce(o.file, n.file) AS file, o.n AS a, n.n AS b FROM (SELECT * FROM c WHERE cycle = 2000) o FULL JOIN (SELECT * FROM c WHERE cycle = 2001) n USING (file)),
+j AS (SELECT coalesce(o.file, n.file) AS file, coalesce(o.cycle + 1, n.cycle) AS cycle, o.n AS a, n.n AS b
+  FROM (SELECT * FROM c WHERE cycle < (SELECT max(cycle) FROM c)) o FULL JOIN (SELECT * FROM c WHERE cycle > (SELECT min(cycle) FROM c)) n ON o.file = n.file AND o.cycle + 1 = n.cycle),
 v AS (SELECT *, CASE WHEN b IS NULL THEN 'error: missing' WHEN coalesce(a, 0) = 0 THEN CASE WHEN b > 0 THEN 'warning: new table' END WHEN b = 0 THEN 'error: empty'
    WHEN greatest(a, b) < 50 THEN NULL WHEN (b - a) / a < -0.10 THEN 'error: dropped' WHEN (b - a) / a > 0.50 THEN 'error: rose'
    WHEN (b - a) / a < -0.05 THEN 'warning: dropped' WHEN (b - a) / a > 0.15 THEN 'warning: rose' END AS verdict FROM j)
-SELECT file, a AS old_rows, b AS new_rows, string_split(verdict, ': ')[1] AS level, string_split(verdict, ': ')[2] AS reason FROM v WHERE verdict IS NOT NULL""")
+SELECT file, cycle, a AS old_rows, b AS new_rows, string_split(verdict, ': ')[1] AS level, string_split(verdict, ': ')[2] AS reason FROM v WHERE verdict IS NOT NULL""")
 def input_row_gate(spark, sf):
     o = table(spark, sf, "orders")
     rows = o.select(F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("file"), F.year("o_orderdate").alias("cycle"))
     counts = quality.row_counts(rows)
-    return quality.input_gate(counts.filter("cycle = 2000"), counts.filter("cycle = 2001"))
+    first, last = counts.agg(F.min("cycle")).scalar(), counts.agg(F.max("cycle")).scalar()
+    old, new = counts.filter(F.col("cycle") < last).withColumn("cycle", F.col("cycle") + 1), counts.filter(F.col("cycle") > first)
+    return quality.input_gate(old, new, ["file", "cycle"])
 
 
 # --- Q-3, P-10, P-11 --------------------------------------------------------------------------
