@@ -10,10 +10,11 @@ from tidemark.session import broadcast_if_bounded
 
 
 def decode_fields(fields: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``source, field, old, new`` -> ``phrase``. A dictionary row for the table wins over one
+    """``source, field, old, new`` -> ``phrase``. Of two rows for one column the first by label counts. A row for the table wins over one
     for any table; columns and codes it does not know stay as written. The dictionary is
     broadcast after its size is checked."""
-    columns = dictionary.filter(F.col("kind") != "code").groupBy("file", "column").agg(F.first("label").alias("label"), F.first("unit").alias("unit"))
+    columns = dictionary.filter(F.col("kind") != "code").groupBy("file", "column").agg(F.min(F.struct("label", "unit")).alias("told"))
+    columns = columns.select("file", "column", "told.label", "told.unit")
     codes = dictionary.filter(F.col("kind") == "code").groupBy("column", "code").agg(F.min_by("label", F.struct(F.col("file") == "", "file")).alias("meaning"))
     columns, codes = broadcast_if_bounded(columns), broadcast_if_bounded(codes)
     any_table = columns.filter(F.col("file") == "").select(F.col("column").alias("field"), F.col("label").alias("l0"), F.col("unit").alias("u0"))

@@ -108,7 +108,7 @@ def row_priority(df, rules: RuleSet):
     pri = F.col("priority")
     step = lambda cond, value: out.withColumn("priority", F.when(F.coalesce(cond, F.lit(False)), value).otherwise(pri))
     known = (kind == "added") & F.col("existed")
-    out = step((file == "FRQ") & (known | F.upper(P.cell(row, "FREQ_USE")).rlike(R.RADIO_LISTING)), F.lit("fyi"))
+    out = step((file == "FRQ") & (known | F.upper(P.cell(row, "FREQ_USE")).rlike(any_word(R.LISTED_USES))), F.lit("fyi"))
     words = any_word(R.ACTION_TEXT_WORDS)
     out = step((pri == "action") & (P.is_empty_facility(file, row) | P.is_outlet_note(file, row, words)), F.lit("fyi"))
     shown = pri != "hidden"

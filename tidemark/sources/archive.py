@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.config import rules as R
 from tidemark.functions import predicates as P
+from tidemark.session import cut_lineage
 
-MEMBERS = "path string, member string, sha256 string, content binary"
+MEMBERS = "path string, place int, member string, sha256 string, content binary"
 
 # --- Fixed values ---------------------------------------------------------------------------
 CYCLE_IN_NAME = r"(\d{4}-\d{2}-\d{2})"
@@ -48,8 +49,8 @@ def members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                for name, raw in _csv_members(content):
-                    yield pd.DataFrame({"path": [path], "member": [name], "sha256": [hashlib.sha256(raw).hexdigest()], "content": [raw]})
+                for place, (name, raw) in enumerate(_csv_members(content)):
+                    yield pd.DataFrame({"path": [path], "place": [place], "member": [name], "sha256": [hashlib.sha256(raw).hexdigest()], "content": [raw]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths).select("path", "content")
     return files.mapInPandas(unpack, MEMBERS).withColumn("cycle", cycle_of(F.col("path")))
@@ -65,12 +66,18 @@ def wanted(found: DataFrame) -> DataFrame:
 
 
 def unique_members(found: DataFrame) -> DataFrame:
-    """S-4: a member packed twice counts once; two versions of one member fail the run."""
-    versions = found.groupBy("cycle", "file").agg(F.count_distinct("sha256").alias("versions"))
-    checked = versions.withColumn(
-        "ok", F.when(F.col("versions") > 1, F.raise_error(F.concat(F.lit("two versions of "), F.col("file"), F.lit(" in one snapshot")))).otherwise(F.lit(True))
-    ).filter("ok")
-    return found.join(checked.select("cycle", "file"), ["cycle", "file"]).dropDuplicates(["cycle", "file", "sha256"])
+    """S-4: a member packed twice counts once; two versions of one member fail the run.
+
+    Digests alone are shuffled; of equal members the first by path stays, and contents stay where they are.
+    """
+    named = cut_lineage(found.select("cycle", "file", "path", "place", "sha256"))
+    kept = named.groupBy("cycle", "file").agg(
+        F.count_distinct("sha256").alias("versions"), F.min(F.struct("path", "place")).alias("first")
+    )
+    two = F.raise_error(F.concat(F.lit("two versions of "), F.col("file"), F.lit(" in one snapshot")))
+    kept = kept.filter(F.when(F.col("versions") > 1, two).otherwise(F.lit(True)))
+    kept = kept.select("cycle", "file", "first.path", "first.place")
+    return found.join(kept, ["cycle", "file", "path", "place"], "left_semi")
 
 
 def decoded(content: Column) -> Column:
