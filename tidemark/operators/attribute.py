@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import rules as R
 from tidemark.functions import predicates as P
 from tidemark.operators.diff import row_items
-from tidemark.session import BROADCAST_ROWS
-
-
-def is_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+from tidemark.session import is_bounded
 
 
 def first_match(rows: DataFrame, ids: DataFrame, candidates: list[Column], out: str = "entity") -> DataFrame:

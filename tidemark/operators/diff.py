@@ -42,10 +42,11 @@ def row_items(row: Column) -> Column:
     return F.array_sort(F.map_entries(row))
 
 
-def _with_digest(df: DataFrame, slots=()) -> DataFrame:
-    """Rows with their identity and a 128-bit digest of it; with ``slots`` also one without those columns."""
+def with_digest(df: DataFrame, *more: str, slots=()) -> DataFrame:
+    """Rows with their identity, a 128-bit digest of it and columns of theirs; with ``slots`` also a
+    digest (``content``) without those columns."""
     identity = F.col("items") if "items" in df.columns else row_items(F.col("row"))
-    out = df.select("file", "entity", identity.alias("items"))
+    out = df.select(*more, "file", "entity", identity.alias("items"))
     digest = lambda items: F.struct(F.xxhash64("file", "entity", items).alias("a"), F.xxhash64(F.lit(1), items, "entity", "file").alias("b"))
     out = out.withColumn("digest", digest(F.col("items")))
     return out.withColumn("content", digest(slotless(F.col("items"), slots))) if slots else out
@@ -72,7 +73,7 @@ def _rows_of(old: DataFrame, new: DataFrame, found: DataFrame) -> DataFrame:
 
 def set_difference(old: DataFrame, new: DataFrame) -> DataFrame:
     """D-1: distinct rows found on one side only, with ``side`` 'removed' or 'added'."""
-    old, new = _with_digest(old), _with_digest(new)
+    old, new = with_digest(old), with_digest(new)
     return _rows_of(old, new, _presence(old, new, "digest").filter(F.col("in_old") != F.col("in_new")))
 
 
@@ -86,7 +87,7 @@ def slot_insensitive_difference(old: DataFrame, new: DataFrame, rules: RuleSet)
     aside) still exists on the other side has only moved, and is no change."""
     if not rules.slot_columns or not rules.remark_files:
         return set_difference(old, new)
-    old, new = _with_digest(old, rules.slot_columns), _with_digest(new, rules.slot_columns)
+    old, new = with_digest(old, slots=rules.slot_columns), with_digest(new, slots=rules.slot_columns)
     listed = F.col("file").isin(*rules.remark_files)
     tag = lambda df: df.withColumn("content", F.when(listed, F.col("content")))
     present = _presence(tag(old), tag(new), "digest", "content")

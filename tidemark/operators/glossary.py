@@ -123,7 +123,7 @@ def term_rows(texts: DataFrame, text: str, key: list[str]) -> DataFrame:
 
 def looks_contracted(term: Column) -> Column:
     """No vowel after the first letter, or a short code."""
-    return (F.length(term) <= 3) | ~F.substring(term, 2, 100).rlike("[AEIOU]")
+    return (F.length(term) <= 3) | ~F.substring(term, F.lit(2), F.length(term)).rlike("[AEIOU]")
 
 
 def lookup(terms: DataFrame, glossary: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
@@ -143,14 +143,31 @@ def lookup(terms: DataFrame, glossary: DataFrame, suffixes: tuple[str, ...] = SU
 def review_terms(texts: DataFrame, text: str, key: list[str], glossary: DataFrame, names: DataFrame) -> DataFrame:
     """T-8: terms a translation must leave as written, less known names and the street words of
     addresses. ``names(name)`` is a list of ids and state codes."""
+    return _left_open(open_terms(texts, text, key), glossary, names).select(*key, "term", "n")
+
+
+def open_terms(texts: DataFrame, text: str, key: list[str]) -> DataFrame:
+    """T-8's candidates, ``key.., term, n``: no plain words, single letters or Roman numbers, and nothing
+    out of an address."""
     open_text = texts.withColumn("__t", F.regexp_replace(F.upper(F.col(text)), HOUSE_STREET, " "))
-    rows = term_rows(open_text, "__t", key)
     plain = lit_array(PLAIN_WORDS + NEGATIONS)
-    rows = rows.filter(~F.array_contains(plain, F.col("term")) & (F.length("term") > 1) & ~F.col("term").rlike("^[IVX]+$"))
+    rows = term_rows(open_text, "__t", key)
+    return rows.filter(~F.array_contains(plain, F.col("term")) & (F.length("term") > 1) & ~F.col("term").rlike("^[IVX]+$"))
+
+
+def _left_open(rows: DataFrame, glossary: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows whose term the glossary does not settle and the names do not list."""
     known = lookup(rows, glossary)
-    open_terms = known.filter(F.when(F.col("entry").isNotNull(), ~F.col("verified") & ~F.col("english")).otherwise(looks_contracted(F.col("term"))))
-    unlisted = open_terms.join(broadcast_if_bounded(names.select(F.col("name").alias("term"), F.lit(True).alias("named")).distinct()), "term", "left")
-    return unlisted.filter(F.col("named").isNull() | F.col("entry").isNotNull()).select(*key, "term", "n")
+    unsettled = known.filter(F.when(F.col("entry").isNotNull(), ~F.col("verified") & ~F.col("english")).otherwise(looks_contracted(F.col("term"))))
+    unlisted = unsettled.join(broadcast_if_bounded(names.select(F.col("name").alias("term"), F.lit(True).alias("named")).distinct()), "term", "left")
+    return unlisted.filter(F.col("named").isNull() | F.col("entry").isNotNull())
+
+
+def unknown_term_counts(texts: DataFrame, text: str, key: list[str], glossary: DataFrame, names: DataFrame) -> DataFrame:
+    """A-4 over T-8: ``term, texts``: in how many texts each term occurs that a translation must leave
+    as written. Texts are cut into terms once and counted before the glossary is asked, so only distinct
+    terms meet it."""
+    return _left_open(open_terms(texts, text, key).groupBy("term").agg(F.count(F.lit(1)).alias("texts")), glossary, names).select("term", "texts")
 
 
 def most_common(terms: DataFrame, texts_key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.operators.skew import top_k
-from tidemark.session import broadcast_if_bounded
+from tidemark.session import broadcast_if_bounded, cut_lineage
 
 # --- Fixed values ---------------------------------------------------------------------------
 NEAR_NM = 10.0
@@ -87,16 +87,17 @@ def contains(rings: Column, lat: Column, lon: Column) -> Column:
 def layers_over(points: DataFrame, pieces: DataFrame, cell: float = BOX_CELL) -> DataFrame:
     """J-6 + J-7: every (point, piece layer) where the point lies inside.
 
-    Pieces are spread over the grid cells of their box and meet points by cell equality, then
-    the box test, then the polygon test.
+    Boxes are spread over their grid cells and meet points by cell equality, then the box test; only
+    what passes meets the piece's rings, which are never copied into cells.
     """
     down = lambda c: F.floor(c / F.lit(cell)).cast("int")
-    boxes = with_box(pieces)
-    boxes = boxes.withColumn("gy", F.explode(F.sequence(down(F.col("s")), down(F.col("n")))))
+    pieces = cut_lineage(with_box(pieces).withColumn("piece", F.monotonically_increasing_id()))
+    boxes = pieces.select("piece", "s", "w", "n", "e").withColumn("gy", F.explode(F.sequence(down(F.col("s")), down(F.col("n")))))
     boxes = boxes.withColumn("gx", F.explode(F.sequence(down(F.col("w")), down(F.col("e")))))
     spots = points.select("entity", "lat", "lon").withColumns({"gy": down(F.col("lat")), "gx": down(F.col("lon"))})
     inside_box = F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e"))
-    hits = spots.join(boxes, ["gy", "gx"]).filter(inside_box).filter(contains(F.col("rings"), F.col("lat"), F.col("lon")))
+    near = spots.join(boxes, ["gy", "gx"]).filter(inside_box).select("entity", "lat", "lon", "piece")
+    hits = near.join(pieces.select("piece", "rings", "name", "ltype", "cls", "layer"), "piece").filter(contains(F.col("rings"), F.col("lat"), F.col("lon")))
     return hits.select("entity", "name", "ltype", "cls", "layer").distinct()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.config.rules import RuleSet
 from tidemark.functions import ids
 from tidemark.operators import diff, pairing, rank
-from tidemark.plans import changes
+from tidemark.plans import backfill, changes
 from workload.pairs import AGED_OUT, ARRIVED, ORDER_RULES, ORDERS_SQL, order_rows, orders_pair, table
 
 
@@ -50,6 +50,29 @@ def snapshot_set_diff(spark, sf):
     )
 
 
+# --- D-1 over all pairs of snapshots ----------------------------------------------------------
+FIRST_YEAR, LAST_YEAR = 1996, 2002
+
+
+@query(f"""
+WITH s AS (SELECT k AS cycle, o_custkey, o_orderkey, CASE WHEN year(o_orderdate) = k - 3 THEN 'OLD' ELSE o_orderpriority END AS priority
+  FROM orders, range({FIRST_YEAR}, {LAST_YEAR + 1}) r(k) WHERE year(o_orderdate) BETWEEN k - 3 AND k - 1),
+d AS (SELECT 'removed' AS side, cycle + 1 AS cycle, o_custkey, o_orderkey, priority FROM s a WHERE cycle < {LAST_YEAR}
+        AND NOT EXISTS (SELECT 1 FROM s b WHERE b.cycle = a.cycle + 1 AND b.o_custkey = a.o_custkey AND b.o_orderkey = a.o_orderkey AND b.priority = a.priority)
+      UNION ALL SELECT 'added', cycle, o_custkey, o_orderkey, priority FROM s a WHERE cycle > {FIRST_YEAR}
+        AND NOT EXISTS (SELECT 1 FROM s b WHERE b.cycle = a.cycle - 1 AND b.o_custkey = a.o_custkey AND b.o_orderkey = a.o_orderkey AND b.priority = a.priority))
+SELECT cycle, side, CAST(o_custkey AS VARCHAR) AS entity, CAST(o_orderkey AS VARCHAR) AS order_no, priority FROM d""")
+def backfill_differences(spark, sf):
+    """Seven yearly snapshots of three years' orders each; an order's last year is told as OLD."""
+    o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate").cast("bigint"))
+    s = o.withColumn("cycle", F.explode(F.sequence(F.col("year") + 1, F.col("year") + 3))).filter(F.col("cycle").between(FIRST_YEAR, LAST_YEAR))
+    told = F.when(F.col("year") == F.col("cycle") - 3, "OLD").otherwise(F.col("o_orderpriority"))
+    items = F.array(F.struct(F.lit("ORDER_NO").alias("key"), F.col("o_orderkey").cast("string").alias("value")), F.struct(F.lit("PRIORITY").alias("key"), told.alias("value")))
+    rows = s.select("cycle", F.lit("ORDERS").alias("file"), F.col("o_custkey").cast("string").alias("entity"), items.alias("items"))
+    row = F.map_from_entries("items")
+    return backfill.all_differences(rows).select("cycle", "side", "entity", row["ORDER_NO"].alias("order_no"), row["PRIORITY"].alias("priority"))
+
+
 # --- D-2: a line that only moved inside its order is no change --------------------------------
 LINES_SQL = f"""
 l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS DECIMAL(18,2)) AS qty,

@@ -79,8 +79,8 @@ def unknown_terms(spark, sf):
     """Terms no list explains, by the number of documents that use them."""
     d = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"))
     names = d.select(F.upper("lang").alias("name")).distinct()
-    rows = G.review_terms(d.select(F.col("doc_id").alias("id"), words_only(F.col("text")).alias("text")), "text", ["id"], word_glossary(spark, sf), names)
-    return G.most_common(rows, "id")
+    texts = d.select(F.col("doc_id").alias("id"), words_only(F.col("text")).alias("text"))
+    return G.unknown_term_counts(texts, "text", ["id"], word_glossary(spark, sf), names)
 
 
 # --- T-9, number part -------------------------------------------------------------------------
