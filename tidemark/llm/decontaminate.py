@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -220,11 +220,6 @@ def _searched(batches: Iterator[pa.RecordBatch], items, limits: Limits) -> Itera
         yield pa.record_batch([pa.array([r[c] for r in rows], kinds[c]) for c in range(len(names))], names=names)
 
 
-def benchmark_parts(benchmark: DataFrame, text: str, key: str, part_chars: int) -> list[int]:
-    """Part numbers 0, 1, ... of the benchmark; see :func:`_with_part`."""
-    return [r[0] for r in _with_part(benchmark, text, key, part_chars).select("part").distinct().orderBy("part").collect()]
-
-
 def _with_part(benchmark: DataFrame, text: str, key: str, part_chars: int) -> DataFrame:
     total = benchmark.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     parts = -(-total // part_chars) or 1
@@ -233,6 +228,15 @@ def _with_part(benchmark: DataFrame, text: str, key: str, part_chars: int) -> Da
     return rows.select(F.col(key).cast("long").alias("item"), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(parts)).alias("part"))
 
 
+def sent_parts(benchmark: DataFrame, text: str, key: str, part_chars: int) -> list:
+    """The benchmark's parts, each a broadcast of its (item, text)."""
+    marked = cut_lineage(_with_part(benchmark, text, key, part_chars))
+    context = benchmark.sparkSession.sparkContext
+    numbers = [r[0] for r in marked.select("part").distinct().orderBy("part").collect()]
+    own = lambda k: tuple(sorted((r[0], r[1]) for r in marked.filter(F.col("part") == k).select("item", "text").distinct().collect()))
+    return [context.broadcast(own(k)) for k in numbers] or [context.broadcast(())]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", limits: Limits = Limits(), part_chars: int = PART_CHARS) -> DataFrame:
     """One row per text and benchmark item found in it: key, item_id, windows (of the item, found),
     edits (fewest of a window), first_char, end_char (of the region, in characters).
@@ -241,21 +245,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     Repeated rows are each reported. Equal items under two ids are both reported. An empty table on
     either side gives an empty result.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
     if rows.rdd.getNumPartitions() < input_tasks(rows):
         rows = rows.repartition(input_tasks(rows))
-    marked = _with_part(benchmark, item_text, item_key, part_chars)
-    found = None
-    for part in benchmark_parts(benchmark, item_text, item_key, part_chars) or [0]:
-        items = tuple(sorted((r[0], r[1]) for r in marked.filter(F.col("part") == part).select("item", "text").distinct().collect()))
-        sent = spark.sparkContext.broadcast(items)
-        own = rows.mapInArrow(lambda it, sent=sent: _searched(it, sent, limits), FOUND)
-        found = own if found is None else found.unionByName(own)
-    return found.withColumnRenamed("key", key)
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the documents in which an item is found; rows that share a key go together."""
-    gone = cut_lineage(leaks(docs, benchmark, text, key, **how).select(F.col(key).alias("__gone")).distinct())
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
+    parts = sent_parts(benchmark, item_text, item_key, part_chars)
+    found = [rows.mapInArrow(lambda it, sent=sent: _searched(it, sent, limits), FOUND) for sent in parts]
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("key", key)
+
+
+def holds_leak(items, limits: Limits):
+    """Whether a text holds an item of a part, as a function of a text column."""
+
+    @F.arrow_udf("boolean")
+    def holds(text: pa.Array) -> pa.Array:
+        index = _index(items.value, limits)
+        raw, offsets = utf8_buffers(text)
+        ends = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+        return pa.array([bool(index.search(characters(raw[a:b].tobytes()))) for a, b in ends], pa.bool_())
+
+    return holds
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", limits: Limits = Limits(), part_chars: int = PART_CHARS) -> DataFrame:
+    """``docs`` without the rows in whose text an item is found; nothing is shuffled."""
+    for items in sent_parts(benchmark, item_text, item_key, part_chars):
+        docs = docs.filter(~holds_leak(items, limits)(text_of(text)))
+    return docs

@@ -241,12 +241,20 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     return Model(vectors, fit(x, y, aside))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, offsets = utf8_buffers(single(batch, "text"))
-        found = [model.network.scores(pooled(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.vectors.value)) for a, b in blocks(offsets)]
-        score = np.concatenate(found) if found else np.zeros(0)
-        yield pa.record_batch([single(batch, "key"), pa.array(score.astype(np.float64))], names=["key", "score"])
+def _column_scores(column: pa.Array, model: Model) -> np.ndarray:
+    raw, offsets = utf8_buffers(column)
+    found = [model.network.scores(pooled(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.vectors.value)) for a, b in blocks(offsets)]
+    return np.concatenate(found).astype(np.float64) if found else np.zeros(0)
+
+
+def score_of(model: Model):
+    """The classifier as a function of a text column; only that column travels to Python."""
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(_column_scores(text, model))
+
+    return score
 
 
 def scores(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", accept: float = ACCEPT) -> DataFrame:
@@ -258,12 +266,10 @@ def scores(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
     rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
     if rows.rdd.getNumPartitions() < input_tasks(rows):
         rows = rows.repartition(input_tasks(rows))
-    scored = rows.mapInArrow(lambda it: _scored(it, model), "key long, score double")
+    scored = rows.select("key", score_of(model)("text").alias("score"))
     return scored.select(F.col("key").alias(key), F.coalesce(held_out(F.col("key")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", accept: float = ACCEPT) -> DataFrame:
-    """``docs`` without those the classifier rejects; rows that share a key stay if one of them does."""
-    gone = scores(docs, model, text, key, accept).groupBy(key).agg(F.max("predicted").alias("__best")).filter("__best = 0")
-    gone = cut_lineage(gone.select(F.col(key).alias("__gone")))
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
+def keep_good(docs: DataFrame, model: Model, text: str = "text", accept: float = ACCEPT) -> DataFrame:
+    """``docs`` without the rows whose text the classifier rejects; nothing is shuffled."""
+    return docs.filter(score_of(model)(text_of(text)) >= accept)
