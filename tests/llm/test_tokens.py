@@ -81,3 +81,15 @@ def test_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     manifest = write_token_files(empty, f"{tmp_path}/none", public_tokenizers.path("byte_bpe_50k.json"))
     assert digest_token_files(manifest).count() == 0
+
+
+def test_slots_find_what_was_added():
+    from tidemark.llm.tokens import Slots
+
+    rnd = np.random.default_rng(4)
+    hashes = np.unique(rnd.integers(0, 2**63, 5_000, dtype=np.uint64))
+    table, half = Slots(50), len(hashes) // 2
+    table.add(hashes[:half], np.arange(half, dtype=np.int32))
+    table.add(hashes[half:], np.arange(half, len(hashes), dtype=np.int32))
+    assert (table.find(hashes) == np.arange(len(hashes))).all()
+    assert (table.find(hashes + np.uint64(1 << 63)) == -1).all() and len(table.find(hashes[:0])) == 0

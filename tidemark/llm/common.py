@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.session import checkpoint_folder
 
 #: Text bytes that one numpy step works on; bounds the memory of a Python worker.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

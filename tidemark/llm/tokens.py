@@ -19,8 +19,8 @@ import pyarrow as pa
 
 from tidemark.llm.common import blocks, utf8_buffers
 
-#: Pieces that a worker remembers before it starts anew (about 200 bytes each).
-REMEMBERED = 1_200_000
+#: Pieces that a worker remembers before it starts anew (about 60 bytes each).
+REMEMBERED = 800_000
 #: Pieces longer than this many bytes are looked up by their bytes.
 LONG_PIECE = 256
 
@@ -42,6 +42,43 @@ WEIGHT = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.ui
 POWER = np.cumprod(np.full(LONG_PIECE, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
 
 
+class Slots:
+    """A hash table from 64-bit hashes to numbers, in two arrays; whole arrays are looked up at once."""
+
+    def __init__(self, most: int):
+        self.bits, self.held = max(4, (2 * most).bit_length()), 0
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+
+    def _first_place(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of hashes, -1 for those not there."""
+        out, place, open_ = np.full(len(hashes), -1, np.int64), self._first_place(hashes), np.arange(len(hashes))
+        while len(open_):
+            value = self.values[place]
+            here = (value >= 0) & (self.keys[place] == hashes[open_])
+            out[open_[here]] = value[here]
+            on = (value >= 0) & ~here
+            open_, place = open_[on], (place[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Distinct hashes that are not there yet; the table grows if they would fill it."""
+        if 3 * (self.held + len(hashes)) > 2 * len(self.keys):
+            old = self.values >= 0
+            keys, numbers = self.keys[old], self.values[old]
+            self.__init__(self.held + len(hashes))
+            self.add(keys, numbers)
+        self.held += len(hashes)
+        place = self._first_place(hashes)
+        while len(hashes):
+            free = self.values[place] < 0
+            self.keys[place[free]], self.values[place[free]] = hashes[free], values[free]
+            out = (self.values[place] != values) | (self.keys[place] != hashes)  # taken, or lost to another of these
+            hashes, values, place = hashes[out], values[out], (place[out] + 1) & (len(self.keys) - 1)
+
+
 class PieceEncoder:
     """Token ids of texts; remembers the pieces it has met.
 
@@ -59,7 +96,7 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot_of: dict[int, int] = {}
+        self.slot_of = Slots(REMEMBERED)
         self.long_slot_of: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.length, self.slots = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
@@ -139,13 +176,12 @@ class PieceEncoder:
         group, distinct = pd.factorize(hashes)
         first = np.zeros(len(distinct), np.int64)
         first[group[::-1]] = np.arange(len(group))[::-1]
-        known = self.slot_of
-        slot = np.fromiter((known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        slot = self.slot_of.find(distinct)
         new = np.flatnonzero(slot < 0)
         if len(new):
             pieces = [raw[a : a + n].tobytes() for a, n in zip(at[first[new]].tolist(), size[first[new]].tolist())]
             slot[new] = self._learn(pieces)
-            known.update(zip(distinct[new].tolist(), slot[new].tolist()))
+            self.slot_of.add(distinct[new], slot[new].astype(np.int32))
         return slot[group]
 
     def encode(self, column: pa.Array):
