@@ -1,4 +1,6 @@
+import itertools
 import re
+from re import _parser
 
 from tidemark.llm.license_rules import GATE, PHRASES, signatures
 from tidemark.llm.licenses import SURE, license_labels
@@ -54,3 +56,41 @@ def test_rules_are_gated_by_words_they_need():
 
 def test_empty_table(spark):
     assert license_labels(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def spelled(items):
+    """A text for each way through a parsed regex; repeats once at least and twice at most."""
+    ways = []
+    for op, arg in items:
+        if op is _parser.LITERAL:
+            ways.append([chr(arg)])
+        elif op is _parser.IN:
+            ways.append([chr(a) if o is _parser.LITERAL else "7" for o, a in arg])
+        elif op is _parser.BRANCH:
+            ways.append([t for branch in arg[1] for t in spelled(branch)])
+        elif op is _parser.SUBPATTERN:
+            ways.append(spelled(arg[3]))
+        else:
+            assert op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT), op
+            low, high, inner = arg
+            ways.append([t * n for n in sorted({low, min(high, low + 1)}) for t in spelled(inner)])
+    return ["".join(way) for way in itertools.product(*ways)]
+
+
+def test_gates_let_every_way_through_a_rule_pass():
+    for s in signatures():
+        for text in spelled(_parser.parse(s.regex)):
+            assert re.fullmatch(s.regex, text)
+            assert s.keyword in text.split(), (s, text)
+            assert any(g in f" {text} " for g in GATE), (s, text)
+
+
+def test_names_without_the_word_license(spark):
+    told = {
+        "This work is licensed under CC0 1.0": "cc0-1.0", "licensed under the WTFPL": "wtfpl", "WTFPL": "wtfpl", "released under OpenRAIL": "openrail", "released under Open RAIL": "openrail",
+        "CC0 licence": "cc0-1.0", "FreeBSD license": "bsd-2-clause", "zero clause BSD license": "0bsd", "for noncommercial use only": "non-commercial", "Mulan PSL v2": "mulanpsl-2.0",
+    }
+    rows = list(enumerate(told))
+    got = {r.doc_id: (r.labels, r.score) for r in license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(told[t] in got[k][0].split(",") and got[k][1] >= 0.7 for k, t in rows), got
+    assert {k: got[k] for k, _ in rows} == {k: plain(t)[-2:] for k, t in rows}

@@ -93,6 +93,15 @@ FAMILIES = [
     ("openrail", "openrail", "(?:creativeml )?open ?rail(?: m)?(?: license)?", "license"),
 ]
 
+#: Names whose alternatives share no word: keyword and part of the name. Each part is a rule of its own.
+PARTS = {
+    "bsd-2-clause": [("bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd)"), ("freebsd", "freebsd")],
+    "0bsd": [("zero", "zero clause bsd"), ("0bsd", "0bsd")],
+    "wtfpl": [("wtfpl", "wtfpl"), ("license", "do what the f\\w+ you want to public license")],
+    "cc0-1.0": [("cc0", "cc0(?: 1 0)?"), ("zero", "(?:cc zero|creative commons zero)(?: 1 0)?")],
+    "openrail": [("openrail", "(?:creativeml )?openrail(?: m)?(?: license)?"), ("rail", "(?:creativeml )?open rail(?: m)?(?: license)?")],
+}
+
 #: Wording of notices and grants, written out.
 NOTICES = [
     Signature(1, "mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
@@ -126,7 +135,8 @@ NOTICES = [
     Signature(2, "proprietary", "proprietary", "(?:confidential and proprietary|proprietary and confidential)"),
     Signature(2, "proprietary", "reproduced", "no part of this (?:publication|work|book|document) may be reproduced"),
     Signature(2, "proprietary", "unauthorized", "unauthorized (?:copying|reproduction|distribution|use) (?:\\S+ ){0,6}?is (?:strictly )?prohibited"),
-    Signature(2, "non-commercial", "commercial", "for (?:personal and )?non ?commercial use only"),
+    Signature(2, "non-commercial", "commercial", "for (?:personal and )?non commercial use only"),
+    Signature(2, "non-commercial", "noncommercial", "for (?:personal and )?noncommercial use only"),
     Signature(2, "non-commercial", "educational", "for educational (?:purposes|use) only"),
     Signature(3, "cc-by", "cc", "cc by"),
     Signature(3, "cc-by-sa", "cc", "cc by sa"),
@@ -156,8 +166,10 @@ def signatures() -> list[Signature]:
     found = list(NOTICES)
     for label, tag, name, keyword in FAMILIES:
         found.append(Signature(1, label, "spdx", f"spdx license identifier {tag}(?: only| or later)?"))
-        found.append(Signature(2, label, keyword, f"(?:licensed|released|distributed|available|published|provided|offered) under (?:the )?(?:terms of the )?{name}(?: licen[cs]e)?"))
-        found.append(Signature(3, label, keyword, name if "licen" in name and "(?: license)" not in name else f"{name} licen[cs]e"))
+        alone = "licen" in name and "(?: license)" not in name
+        for word, part in PARTS.get(label, [(keyword, name)]):
+            found.append(Signature(2, label, word, f"(?:licensed|released|distributed|available|published|provided|offered) under (?:the )?(?:terms of the )?{part}(?: licen[cs]e)?"))
+            found.append(Signature(3, label, word, part if alone else f"{part} licen[cs]e"))
     return sorted(found, key=lambda s: s.priority)
 
 
@@ -167,4 +179,5 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 GATE = (
     "licen", "copyright", "reserved", "cc by", "cc0", "cc zero", "permission", "warranty", "domain", "redistribution", "advertising materials", "endorse or promote", "proprietary",
     "may be reproduced", "prohibited", "commercial use", "for educational", "creative commons", "released under", "distributed under", "available under", "published under", "provided under", "offered under",
+    "wtfpl", "mulan psl",
 )
