@@ -1,6 +1,6 @@
 import json
 
-from tidemark.llm.chat import SCHEMAS, argument_errors, chain_depths, link_calls, turns_as_calls
+from tidemark.llm.chat import SCHEMAS, argument_errors, chain_depths, chat_rows, link_calls, turns_as_calls
 
 CALLS = "conv_id long, call_id string, name string, arguments string, after string"
 RESULTS = "conv_id long, call_id string, content string"
@@ -57,3 +57,26 @@ def test_turns(spark):
     got = {(r.conv_id, r.call_id): (r.status, r.depth, r.errors, r.n_calls) for r in link_calls(*turns_as_calls(df)).collect()}
     assert got == {(1, "1"): ("linked", 0, "", 1), (1, "3"): ("linked", 1, "missing text", 1), (1, "5"): ("orphan result", 0, None, 0), (2, "0"): ("unanswered", 0, "", 2)}
     assert link_calls(*turns_as_calls(df.filter("false"))).count() == 0
+
+
+def test_every_turn_is_told(spark):
+    rows = [
+        (1, 0, "system", 'be "kind"'), (1, 0, "system", 'be "kind"'), (1, 1, "user", "b\n"), (1, 1, "user", "a"), (1, 1, "user", "a"), (1, 1, "user", None), (1, 1, "user", 'c "é"'), (1, 2, "assistant", "two"),
+        (1, 2, "assistant", "one"), (1, 2, "assistant", None), (1, 3, None, "who"), (None, 0, "user", "nobody"), (4, None, "assistant", "when"), (None, None, "tool", None),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'c' as call_id", "'x' as status")
+    got = chat_rows(df).collect()
+    exchange = [r for r in got if r.status == "linked"]
+    assert len(exchange) == 1 and (exchange[0].n_calls, exchange[0].n_results, exchange[0].position) == (5, 3, 1)
+    told = json.loads(exchange[0].json)
+    spoken = [(1, 1, "user", told["arguments"].get("text")), (1, 2, "assistant", told["result"])]
+    rest = []
+    for r in got:
+        if r.status != "linked":
+            data = json.loads(r.json)
+            assert list(data) == ["role", "text", "turn"] and r.json == json.dumps(data, ensure_ascii=False, separators=(",", ":"))
+            rest.append((r.status, (r.conv_id, data["turn"], data["role"], data["text"])))
+    want = [("unidentified" if r[0] is None or r[1] is None else "message", r) for r in rows if r[2] not in ("user", "assistant") or None in r[:2]]
+    want += [("repeated", r) for r in set(rows) - set(spoken) if r[2] in ("user", "assistant") and None not in r[:2]]
+    assert sorted(map(str, rest)) == sorted(map(str, want))
+    assert chat_rows(df.filter("false")).count() == 0

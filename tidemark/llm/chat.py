@@ -124,3 +124,31 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     results = conversations.filter("role = 'assistant'").select("conv_id", ident(1).alias("call_id"), text.alias("content"))
     return calls, results
 
+
+def chat_rows(conversations: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] | None = None) -> DataFrame:
+    """The exchanges of plain turns (``link_calls``) and a row for each text they do not tell.
+
+    Further statuses: message (a turn of another role, or of none), unidentified (its conv_id or turn is
+    null) and repeated (another text of a turn whose alphabetically first speaks in the exchange; equal
+    ones are told once, and counted there). These rows count no calls or results, have no depth, position
+    or errors, and their JSON has the role, text and turn; call_id is the exchange's, or the turn.
+    """
+    calls, results = turns_as_calls(conversations)
+    role, turn = F.col("role"), F.col("turn")
+    known = F.coalesce(role.isin("user", "assistant"), F.lit(False))
+    unplaced = F.col("conv_id").isNull() | turn.isNull()
+    status = F.when(unplaced, "unidentified").otherwise("message")
+    body = F.to_json(F.struct("role", "text", "turn"), {"ignoreNullFields": "false"})
+    others = conversations.filter(unplaced | ~known).select("conv_id", turn.cast("string").alias("call_id"), status.alias("status"), body.alias("json"))
+
+    def repeated(told: DataFrame, value: str, who: str, text: Column, back: int) -> DataFrame:
+        told = told.filter(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).select("conv_id", "call_id", F.struct(value).alias("told"))
+        several = told.groupBy("conv_id", "call_id").agg(F.min("told").alias("first"), F.max("told").alias("last")).filter("first != last").drop("last")
+        more = told.join(several, ["conv_id", "call_id"]).filter("told != first").select("conv_id", "call_id", "told").distinct()
+        body = F.struct(F.lit(who).alias("role"), text.alias("text"), (F.col("call_id").cast("long") + back).alias("turn"))
+        return more.select("conv_id", "call_id", F.lit("repeated").alias("status"), F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+    rest = others.unionByName(repeated(calls, "arguments", "user", F.get_json_object("told.arguments", "$.text"), 0))
+    rest = rest.unionByName(repeated(results, "content", "assistant", F.col("told.content"), 1))
+    rest = rest.withColumns({n: F.lit(0).cast("long") for n in ("n_calls", "n_results")})
+    return link_calls(calls, results, schemas).unionByName(rest, allowMissingColumns=True)

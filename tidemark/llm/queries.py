@@ -77,4 +77,4 @@ def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link_calls(*chat.turns_as_calls(table(spark, sf_dir, "conversations")))
+    return chat.chat_rows(table(spark, sf_dir, "conversations"))
