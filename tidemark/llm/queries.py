@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, exact_dedup, licenses, packing, quality, repair_files, simhash, url_filter, warc
+from tidemark.llm import chat, decontaminate, exact_dedup, licenses, merkle, packing, quality, repair_files, simhash, url_filter, warc
 from tidemark.llm.common import shared_folder, table
 
 QUERIES: dict = {}
@@ -78,3 +78,8 @@ def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_rows(table(spark, sf_dir, "conversations"))
+
+
+@query(merkle.oracle())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_rows(merkle.proofs(table(spark, sf_dir, "documents"), claimed=merkle.lower_cased_fifth))
