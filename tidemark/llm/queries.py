@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, exact_dedup, licenses, merkle, packing, quality, repair_files, simhash, url_filter, warc
+from tidemark.llm import chat, decontaminate, exact_dedup, fingerprints, licenses, merkle, packing, quality, ranked_search, repair_files, simhash, url_filter, warc
 from tidemark.llm.common import shared_folder, table
 
 QUERIES: dict = {}
@@ -83,3 +83,13 @@ def op5_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(merkle.oracle())
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_rows(merkle.proofs(table(spark, sf_dir, "documents"), claimed=merkle.lower_cased_fifth))
+
+
+@query()
+def op12_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query(ranked_search.oracle())
+def op13_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
