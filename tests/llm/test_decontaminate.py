@@ -43,7 +43,7 @@ def expected(docs, items, limits):
         codes = characters((t or "").encode())
         for w, pattern in enumerate(index.codes):
             if len(codes) and distance(pattern, codes) <= index.budget[w]:
-                out.add((key, index.item[w]))
+                out.add((key, index.ids[index.item[w]]))
     return out
 
 
@@ -74,6 +74,21 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(k) for k, _ in docs if k not in gone)
 
 
+def test_short_items_and_items_without_ids(spark):
+    quote = "the quick brown fox jumps over the lazy dog while seven wizards watch " * 2
+    items = [(1, "Forty-two is the answer"), (2, "ab"), (3, "?"), (None, quote), (None, "never said anywhere at all by anyone"), (4, "\n "), (5, "forty-two  is")]
+    docs = [
+        (1, "They say FORTY-TWO is\tthe answer, no less"), (2, "forty-two is the answers"), (3, "cab abc"), (4, "an ab."), (5, "ab"),
+        (6, "why?"), (7, "x " + quote.upper() + " y"), (8, None), (9, ""), (10, "Forty-two  is odd"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bm = spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1), (4, 2), (5, 2), (6, 3), (7, None), (10, 5)}
+    for part_chars in (2_000_000, 60):
+        assert {(r.doc_id, r.item_id) for r in leaks(df, bm, part_chars=part_chars).collect()} == want
+    assert {r.doc_id for r in drop_leaks(df, bm).collect()} == {2, 3, 8, 9}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     bm = spark.createDataFrame([(1, "some item " * 9)], "item_id long, text string")

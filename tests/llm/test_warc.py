@@ -45,9 +45,19 @@ def test_archives_give_back_every_page(spark, tmp_path):
 
 
 def test_files_do_not_depend_on_partitioning(spark, tmp_path):
-    one = write_archives(frame(spark, 2), f"{tmp_path}/one", roll_bytes=3_000).drop("path")
-    two = write_archives(frame(spark, 7), f"{tmp_path}/two", roll_bytes=3_000).drop("path")
-    assert sorted(one.collect(), key=str) == sorted(two.collect(), key=str)
+    files = []
+    for parts in (1, 2, 7, 30):
+        manifest = write_archives(frame(spark, parts), f"{tmp_path}/{parts}", roll_bytes=3_000, shard_bytes=20_000)
+        files.append(sorted(manifest.drop("path").collect(), key=str))
+        assert spark.read.parquet(f"{tmp_path}/{parts}/manifest").count() == len(files[-1])
+    assert len({r.shard for r in files[0]}) > 5
+    assert files[0] == files[1] == files[2] == files[3]
+
+
+def test_a_key_that_cannot_be_null(spark, tmp_path):
+    pages = spark.range(500).selectExpr("id as page_id", "concat('http://x/', id) as url", "repeat('p', cast(id % 50 as int)) as html").repartition(2)
+    rows = [(i, f"http://x/{i}", "p" * (i % 50)) for i in range(500)]
+    assert read(write_archives(pages, f"{tmp_path}/range", shard_bytes=1_000)) == expected(rows)
 
 
 def test_empty_table(spark, tmp_path):

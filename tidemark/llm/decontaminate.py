@@ -10,7 +10,8 @@ window of m characters shares at least ``m - q + 1 - k q`` of its q-grams, and d
    bands that reach the window's bound go on.
 3. A banded alignment of the window against the text decides, and gives the edits.
 
-Every step is a necessary condition, so nothing within the budget is lost. Texts are compared in lower
+Every step is a necessary condition, so nothing within the budget is lost. Items too short for windows are
+found by an automaton of all of them, without edits and between characters that are no letter or digit. Texts are compared in lower
 case (ASCII) with all white space alike, character for character, so positions are those of the text.
 
 The benchmark is read in parts of bounded size, each broadcast to one pass over the texts; the number of
@@ -36,7 +37,7 @@ Q = 8
 WINDOW, STEP = 120, 60
 #: Edits allowed, as a share of the window.
 EDITS = 0.08
-#: Items with fewer characters say too little to be searched for.
+#: Items with fewer characters say too little to be found with edits: they are found as whole phrases only.
 LEAST_CHARS = 40
 #: Benchmark characters of one part.
 PART_CHARS = 2_000_000
@@ -85,20 +86,28 @@ def rolling(codes: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """The windows of a part of the benchmark and their q-grams."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...], limits: Limits):
+    def __init__(self, items: tuple[tuple[int | None, str], ...], limits: Limits):
         self.limits = limits
+        self.ids = [item for item, _ in items]
         self.codes: list[np.ndarray] = []
-        self.item: list[int] = []
+        self.item: list[int] = []  # the item's place in ``ids``
         self.start: list[int] = []
-        for item, text in items:
-            codes = characters(text.strip().encode())
+        short: dict[str, list[int]] = {}
+        for item, (_, text) in enumerate(items):
+            codes = characters(text.encode())
+            inner = np.flatnonzero(codes != 32)
+            if not len(inner):
+                continue
+            codes = codes[inner[0] : inner[-1] + 1]
             if len(codes) < max(limits.least_chars, limits.q):
+                short.setdefault(as_text(codes), []).append(item)
                 continue
             last = max(0, len(codes) - limits.window)
             for a in sorted({*range(0, last, limits.step), last}):
                 self.codes.append(codes[a : a + limits.window])
                 self.item.append(item)
                 self.start.append(a)
+        self.phrases = automaton(short) if short else None
         size = np.array([len(c) for c in self.codes], np.int64)
         self.size = size
         self.budget = (size * limits.edits).astype(np.int64)
@@ -180,20 +189,50 @@ class Index:
                 ends[some] = first + best + size
         return edits, np.minimum(ends, len(codes))
 
-    def search(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    def search(self, codes: np.ndarray) -> list[tuple[int | None, int, int, int, int]]:
         """(item, matched windows, fewest edits, start, end) of each item found in one text."""
+        found: dict[int, list] = self.whole_phrases(codes) if self.phrases else {}
         window, low = self.candidates(codes)
         if not len(window):
-            return []
+            return self.told(found)
         edits, ends = self.align(codes, window, low)
         good = edits <= self.budget[window]
-        found: dict[int, list] = {}
         for w, e, end in zip(window[good].tolist(), edits[good].tolist(), ends[good].tolist()):
             seen = found.setdefault(self.item[w], [set(), e, end, end])
             seen[0].add(w)
             seen[1] = min(seen[1], e)
             seen[2], seen[3] = min(seen[2], max(0, end - int(self.size[w]))), max(seen[3], end)
-        return [(item, len(ws), e, a, b) for item, (ws, e, a, b) in sorted(found.items())]
+        return self.told(found)
+
+    def told(self, found: dict[int, list]) -> list[tuple[int | None, int, int, int, int]]:
+        return [(self.ids[item], len(ws), e, a, b) for item, (ws, e, a, b) in sorted(found.items())]
+
+    def whole_phrases(self, codes: np.ndarray) -> dict[int, list]:
+        """The short items that stand in a text between characters that are no letter or digit."""
+        text, found = as_text(codes), {}
+        for end, (phrase, items) in self.phrases.iter(text):
+            start = end + 1 - len(phrase)
+            inside = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+            if inside or (end + 1 < len(text) and text[end + 1].isalnum() and text[end].isalnum()):
+                continue
+            for item in items:
+                seen = found.setdefault(item, [{-1}, 0, start, end + 1])
+                seen[2], seen[3] = min(seen[2], start), max(seen[3], end + 1)
+        return found
+
+
+def as_text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def automaton(phrases: dict[str, list[int]]):
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for phrase, items in phrases.items():
+        out.add_word(phrase, (phrase, items))
+    out.make_automaton()
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -214,7 +253,7 @@ def _searched(batches: Iterator[pa.RecordBatch], items, limits: Limits) -> Itera
             # One array for the block, with a gap no window can cross between two texts.
             texts = [characters(raw[offsets[i] : offsets[i + 1]].tobytes()) for i in range(a, b)]
             for i, codes in zip(range(a, b), texts):
-                rows += [(key[i], *found) for found in index.search(codes)] if len(codes) >= limits.least_chars else []
+                rows += [(key[i], *found) for found in index.search(codes)]
         names = [f.split()[0] for f in FOUND.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         yield pa.record_batch([pa.array([r[c] for r in rows], kinds[c]) for c in range(len(names))], names=names)
@@ -229,7 +268,7 @@ def _with_part(benchmark: DataFrame, text: str, key: str, part_chars: int) -> Da
     total = benchmark.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     parts = -(-total // part_chars) or 1
     # A part is a share of the items by hash; the longest item bounds how far it exceeds its size.
-    rows = benchmark.filter(F.col(text).isNotNull() & F.col(key).isNotNull())
+    rows = benchmark.filter(F.col(text).isNotNull())
     return rows.select(F.col(key).cast("long").alias("item"), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(parts)).alias("part"))
 
 
@@ -237,7 +276,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     """One row per text and benchmark item found in it: key, item_id, windows (of the item, found),
     edits (fewest of a window), first_char, end_char (of the region, in characters).
 
-    Null texts and items hold nothing; items under ``least_chars`` characters are not searched for.
+    Null texts and items hold nothing. An item without an id is searched for like any other and reported
+    with a null id. Items under ``least_chars`` characters are found as whole phrases, without edits. A
+    quote of a longer item is certain to be found from ``window + step - 1`` characters on.
     Repeated rows are each reported. Equal items under two ids are both reported. An empty table on
     either side gives an empty result.
     """
@@ -248,7 +289,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     marked = _with_part(benchmark, item_text, item_key, part_chars)
     found = None
     for part in benchmark_parts(benchmark, item_text, item_key, part_chars) or [0]:
-        items = tuple(sorted((r[0], r[1]) for r in marked.filter(F.col("part") == part).select("item", "text").distinct().collect()))
+        items = tuple(sorted(((r[0], r[1]) for r in marked.filter(F.col("part") == part).select("item", "text").distinct().collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
         sent = spark.sparkContext.broadcast(items)
         own = rows.mapInArrow(lambda it, sent=sent: _searched(it, sent, limits), FOUND)
         found = own if found is None else found.unionByName(own)

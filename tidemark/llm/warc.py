@@ -3,8 +3,9 @@
 Records are range-sorted by key into shards whose bounds depend on the keys alone. A shard's task
 writes gzip members, one a record, and begins a new file once a file's compressed size reaches the
 roll size; headers and digests are made anew from the payload. A file is written under a temporary
-name and renamed when it is whole; the checkpointed manifest names the files that count. A shard that
-is written again gives the same bytes under the same names.
+name and renamed when it is whole. The manifest names the files that count; it is written last, as a
+folder of its own, again under a temporary name. A shard that is written again gives the same bytes under
+the same names, and how many shards there are follows from the payloads' bytes, not from their layout.
 
 Of records with equal payloads one is the response, the others are revisits that refer to it; a
 revisit keeps the HTTP headers of the page and no payload.
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import file_system, input_tasks, range_shard, single, text_of
+from tidemark.llm.common import file_system, range_shard, single, text_of
 from tidemark.session import cut_lineage
 
 #: Compressed bytes at which a file is closed, and the level of compression.
 ROLL_BYTES, LEVEL = 32 << 20, 4
+#: Payload bytes of a shard, on average.
+SHARD_BYTES = 32 << 20
 #: The date of every record: output depends on the input alone.
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -121,7 +124,7 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int, le
     yield pa.record_batch([pa.array([r[c] for r in files.done], kinds[c]) for c in range(len(names))], names=names)
 
 
-def write_archives(pages: DataFrame, folder: str, payload: str = "html", key: str = "page_id", url: str = "url", least_bytes: int = 0, roll_bytes: int = ROLL_BYTES, level: int = LEVEL) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, payload: str = "html", key: str = "page_id", url: str = "url", least_bytes: int = 0, roll_bytes: int = ROLL_BYTES, level: int = LEVEL, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes one record per row into ``folder``; returns the manifest (a row per file).
 
     Null payloads and URLs are empty. Of equal payloads of at least ``least_bytes`` bytes the row with
@@ -143,11 +146,16 @@ def write_archives(pages: DataFrame, folder: str, payload: str = "html", key: st
         F.col(key).cast("long").alias("key"), sha.alias("sha"), F.lit(1).alias("told"), F.lit(None).cast("long").alias("response"),
         text_of(url).alias("url"), text_of(payload).alias("payload"),
     )
-    tasks = input_tasks(records)
-    rows = records.unionByName(told).withColumn("shard", range_shard(keyed, "key", tasks))
-    laid = rows.repartitionById(tasks, F.col("shard")) if tasks > 1 else rows.coalesce(1)
+    shards = -(-(keyed.agg(F.sum("size")).first()[0] or 0) // shard_bytes) or 1
+    # Before the union: the planner would otherwise carry the shard's constraints through it.
+    shard = range_shard(keyed, "key", shards)
+    rows = records.withColumn("shard", shard).unionByName(told.withColumn("shard", shard))
+    laid = rows.repartitionById(shards, F.col("shard")) if shards > 1 else rows.coalesce(1)
     laid = laid.sortWithinPartitions("shard", "key", "sha", "told", "url")
-    return cut_lineage(laid.mapInArrow(lambda it: _written(it, folder, roll_bytes, level), MANIFEST))
+    draft = f"{folder}/manifest-{uuid.uuid4().hex}.tmp"
+    laid.mapInArrow(lambda it: _written(it, folder, roll_bytes, level), MANIFEST).write.parquet(draft)
+    store.move(f"{root}/{draft.rpartition('/')[2]}", f"{root}/manifest")
+    return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
 
 # --- reading -----------------------------------------------------------------------------------
