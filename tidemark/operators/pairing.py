@@ -7,8 +7,10 @@ of columns with equal values. Three exact ways share the work by group size, whe
 1. one removed and one added row in a keyed group: paired by a single aggregation;
 2. small groups (a counted number of pairs): solved whole inside a grouped-map task;
 3. everything larger: rows with the same comparable items collapse into classes, class pairs
-   come from an inverted index on shared items, and rounds of mutual-best matching consume
-   members in sorted order. No group is gathered and rows are never multiplied pairwise.
+   come from an inverted index on shared items, and members choose in sorted order from queues of
+   those classes (``greedy``), in cells of bounded size. Rows are never multiplied pairwise.
+
+All three give the pairs of the same rule; counts only choose among them.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from pyspark.sql import functions as F
 from tidemark.config.rules import UNRELATED_RATIO, RuleSet
 from tidemark.functions import predicates as P
 from tidemark.functions import text as T
+from tidemark.operators import greedy
 from tidemark.operators.skew import ordinal
 from tidemark.session import cut_lineage
 
 MIN_SCORE = 0.5
 SMALL_GROUP_PAIRS = 4096
 SMALL_GROUP_ROWS = 2048
+#: Rows and class edges that one cell holds at most.
+CELL_ROWS, CELL_EDGES = 50_000, 1_000_000
 GROUP = ["file", "entity", "pair_key"]
 ITEMS = "array<struct<key:string,value:string>>"
 KEYS = "array<struct<key:string,value:string,there:boolean>>"
@@ -84,7 +89,7 @@ def meets(must: Column, offered: Column) -> Column:
     return F.size(F.array_except(must, offered)) == 0
 
 
-def pair_rows(diff: DataFrame, rules: RuleSet, small_pairs: int = SMALL_GROUP_PAIRS) -> DataFrame:
+def pair_rows(diff: DataFrame, rules: RuleSet, small_pairs: int = SMALL_GROUP_PAIRS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """D-3/D-4/D-5 over the output of the set difference.
 
     Returns ``file, entity, old_items, new_items``: both set for a pair, one of them null for a
@@ -133,7 +138,7 @@ def pair_rows(diff: DataFrame, rules: RuleSet, small_pairs: int = SMALL_GROUP_PA
         if rules.list_topics:
             out = out.unionByName(_small_listed_groups(small.filter("any_listed")))
     if shape["large"]:
-        out = out.unionByName(large_groups(both.filter(~_is_small(small_pairs))))
+        out = out.unionByName(large_groups(both.filter(~_is_small(small_pairs)), cell_rows))
     return out
 
 
@@ -240,34 +245,155 @@ def _remark(items: Column) -> Column:
     return P.cell(F.map_from_entries(items), "REMARK")
 
 
-# --- way 3: unbounded groups ----------------------------------------------------------------
+# --- way 3: larger groups -------------------------------------------------------------------
+
+def large_groups(rows: DataFrame, cell_rows: int = CELL_ROWS, cell_edges: int = CELL_EDGES) -> DataFrame:
+    """Groups of any size. Input as ``grouped`` plus the group counts.
 
-def large_groups(rows: DataFrame) -> DataFrame:
-    """Groups of any size. Input as ``grouped`` plus the group counts."""
+    Rows are labelled (class and kind) by distributed joins. A group whose rows and class edges are counted
+    and few enough is then one cell; any other is solved level by level in cells of bounded size.
+    """
     rows = cut_lineage(rows.withColumn("gid", F.md5(F.to_json(F.struct(*GROUP)))).withColumn("columns", F.transform("items", lambda e: e["key"])))
     constants = _constants(rows)
     classes, members = _classes(rows, constants)
-    matched = match_classes(_class_edges(classes), members)
-    while True:
-        key = ["gid", "side", "items"]
-        olds = matched.select("gid", F.col("old_items").alias("items"), F.lit("removed").alias("side"))
-        news = matched.select("gid", F.col("new_items").alias("items"), F.lit("added").alias("side"))
-        left = cut_lineage(rows.join(olds.unionByName(news), key, "left_anti"))
-        # What is left shares nothing but what all rows share: where that is enough, rows of the same
-        # columns all tie and pair in sorted order, the narrowest columns first.
-        zipped = cut_lineage(_zip_sides(left.join(constants, "gid")))
-        if zipped.isEmpty():
-            break
-        matched = cut_lineage(matched.unionByName(zipped))
-    names = rows.select("gid", "file", "entity").distinct()
+    edges = cut_lineage(_class_edges(classes))
+    size = members.groupBy("gid").agg(F.count(F.lit(1)).alias("rows")).join(edges.groupBy("gid").agg(F.count(F.lit(1)).alias("edges")), "gid", "left")
+    whole = size.filter((F.col("rows") <= cell_rows) & (F.coalesce("edges", F.lit(0)) <= cell_edges)).select("gid")
+    parted = cut_lineage(size.select("gid").join(whole, "gid", "left_anti"))
+    one = members.join(whole, "gid", "left_semi").withColumn("cell", F.col("gid"))
+    matched = _solved(one, edges.join(whole, "gid", "left_semi").withColumn("cell", F.col("gid")))
+    if not parted.isEmpty():
+        rest = members.join(parted, "gid", "left_semi")
+        matched = matched.unionByName(_by_levels(rest, edges.join(parted, "gid", "left_semi"), max(1, cell_rows // 2)))
+    matched = cut_lineage(matched)
+    used = matched.select("gid", F.lit("removed").alias("side"), F.col("old_items").alias("items")).unionByName(
+        matched.select("gid", F.lit("added").alias("side"), F.col("new_items").alias("items"))
+    )
+    left = rows.join(used, ["gid", "side", "items"], "left_anti")
     single = left.select(
         "file", "entity",
         F.when(F.col("side") == "removed", F.col("items")).alias("old_items"),
         F.when(F.col("side") == "added", F.col("items")).alias("new_items"),
     )
+    names = rows.select("gid", "file", "entity").distinct()
     return matched.join(names, "gid").select("file", "entity", "old_items", "new_items").unionByName(single)
 
 
+def _solved(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs (gid, old_items, new_items) of each cell: all levels, or the one its rows name (``level``)."""
+    if "level" not in members.columns:
+        members = members.withColumn("level", F.lit(None).cast("double"))
+    told = ["cell", "gid", "side", "items", "cid", "columns", "keyed", "must", "listed", "said", "stems", "constants", "level"]
+
+    def solve(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        plain = lambda items: tuple((e["key"], e["value"]) for e in items)
+        found = []
+        if len(rows):
+            (olds, old_at), (news, new_at) = greedy.entries(rows, "removed", plain), greedy.entries(rows, "added", plain)
+            level = rows["level"].iat[0]
+            cell = greedy.Cell(olds, news, int(rows["constants"].iat[0]), MIN_SCORE)
+            pairs = cell.pairs(zip(links["l"], links["r"], links["score"]), None if pd.isna(level) else float(level))
+            found = [(old_at[i], new_at[j]) for i, j in pairs]
+        pick = lambda column, places: pd.Series([rows[column].iat[k] for k in places], dtype=object)
+        olds, news = [o for o, _ in found], [n for _, n in found]
+        return pd.DataFrame({"gid": pick("gid", olds), "old_items": pick("items", olds), "new_items": pick("items", news)})
+
+    return members.select(*told).groupBy("cell").cogroup(edges.select("cell", "l", "r", "score").groupBy("cell")).applyInPandas(
+        solve, f"gid string, old_items {ITEMS}, new_items {ITEMS}"
+    )
+
+
+def _by_levels(members: DataFrame, edges: DataFrame, part: int) -> DataFrame:
+    """Groups too large for one cell. The highest level a group still has is solved before the next.
+
+    Inside a level the removed rows that have an edge are numbered into parts, the added ones into windows. A
+    cell of a part and a window needs the part's earlier windows and the window's earlier parts settled, and
+    nothing else, so all cells of a diagonal are solved at once and the result is that of one pass in
+    sorted order. Where everything may meet everything, places pair by their numbers and no cell is needed.
+    """
+    alive, edges, found = cut_lineage(members), cut_lineage(edges), []
+    before = alive.select("gid").distinct().withColumn("before", F.lit(float("inf")))
+    side = lambda s: F.col("side") == s
+    while True:
+        kinds = _kind_edges(alive)
+        scores = edges.select("gid", "score").unionByName(kinds.select("gid", "score")).join(before, "gid")
+        level = cut_lineage(scores.filter(F.col("score") < F.col("before")).groupBy("gid").agg(F.max("score").alias("level")))
+        if level.isEmpty():
+            break
+        here = cut_lineage(edges.join(level, "gid").filter("score = level").select("gid", "l", "r", "score"))
+        kinds = cut_lineage(kinds.join(level, "gid").filter("score = level").drop("score"))
+        active = _numbered(alive, here, kinds).join(level, "gid")
+        active = cut_lineage(active)
+        zipped, rest = _zipped(active, here, kinds)
+        matched = [zipped]
+        place = rest.withColumn("part", F.floor((F.col("n") - 1) / part).cast("int"))
+        last = place.groupBy("gid", "side").agg(F.max("part").alias("part")).groupBy("side").agg(F.max("part")).collect()
+        last = {r.side: r[1] for r in last}
+        taken = None
+        for diagonal in range(last.get("removed", -1) + last.get("added", -1) + 1 if len(last) == 2 else 0):
+            window = F.when(side("removed"), F.lit(diagonal) - F.col("part")).otherwise(F.col("part"))
+            cells = place.withColumn("window", window).filter(F.col("window").between(0, diagonal))
+            cells = cells if taken is None else cells.join(taken, ["gid", "side", "items"], "left_anti")
+            cells = cut_lineage(cells.withColumn("cell", F.concat_ws("/", "gid", "window")))
+            of = lambda s, c, cells=cells: cells.filter(side(s)).select("cell", "gid", F.col("cid").alias(c)).distinct()
+            links = here.join(of("removed", "l"), ["gid", "l"]).join(of("added", "r"), ["gid", "cell", "r"])
+            more = cut_lineage(_solved(cells, links))
+            matched.append(more)
+            taken = _both_ends(more) if taken is None else cut_lineage(taken.unionByName(_both_ends(more)))
+        pairs = cut_lineage(reduce(DataFrame.unionByName, matched))
+        found.append(pairs)
+        alive = cut_lineage(alive.join(_both_ends(pairs), ["gid", "side", "items"], "left_anti"))
+        has = lambda s, c: alive.filter(side(s)).select("gid", F.col("cid").alias(c)).distinct()
+        edges = cut_lineage(edges.join(has("removed", "l"), ["gid", "l"], "left_semi").join(has("added", "r"), ["gid", "r"], "left_semi"))
+        before = level.select("gid", F.col("level").alias("before"))
+    if not found:
+        return members.sparkSession.createDataFrame([], f"gid string, old_items {ITEMS}, new_items {ITEMS}")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("gid", F.lit("removed").alias("side"), F.col("old_items").alias("items")).unionByName(
+        pairs.select("gid", F.lit("added").alias("side"), F.col("new_items").alias("items"))
+    )
+
+
+def _kind_edges(alive: DataFrame) -> DataFrame:
+    """Sets of columns whose rows may meet by what all rows of the group share; few per group."""
+    of = lambda s, c, *more: alive.filter(F.col("side") == s).select("gid", F.col("columns").alias(c), *more).distinct()
+    both = of("removed", "old_columns", "keyed", "constants").join(of("added", "new_columns"), "gid")
+    both = both.withColumn("score", F.col("constants") / F.greatest(F.size(F.array_union("old_columns", "new_columns")), F.lit(1)))
+    return both.filter(F.col("keyed") | (F.col("score") >= MIN_SCORE)).select("gid", "old_columns", "keyed", "new_columns", "score")
+
+
+def _numbered(alive: DataFrame, here: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The rows that the level's edges touch, with their number on their side of the group (``n``)."""
+    cids = here.select("gid", F.lit("removed").alias("side"), F.col("l").alias("cid")).unionByName(here.select("gid", F.lit("added").alias("side"), F.col("r").alias("cid")))
+    of_kind = kinds.select("gid", F.lit("removed").alias("side"), F.col("old_columns").alias("columns"), "keyed").unionByName(
+        kinds.select("gid", F.lit("added").alias("side"), F.col("new_columns").alias("columns"), F.lit(False).alias("keyed"))
+    )
+    touched = alive.join(cids.distinct().withColumn("by_class", F.lit(True)), ["gid", "side", "cid"], "left")
+    touched = touched.join(of_kind.distinct().withColumn("by_kind", F.lit(True)), ["gid", "side", "columns", "keyed"], "left")
+    touched = touched.filter(F.coalesce("by_class", "by_kind", F.lit(False)))
+    return ordinal(touched, ["gid", "side"], ["items"], "n")
+
+
+def _zipped(active: DataFrame, here: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the groups in which any removed row may meet any added one, by number; the other groups' rows."""
+    removed = F.col("side") == "removed"
+    shape = active.groupBy("gid").agg(
+        F.bool_or((F.size("must") > 0) & removed | F.col("listed")).alias("asks"),
+        F.bool_and(F.coalesce("by_kind", F.lit(False))).alias("all_by_kind"), F.bool_and(F.coalesce("by_class", F.lit(False))).alias("all_by_class"),
+        F.count_distinct(F.when(removed, F.struct("columns", "keyed"))).alias("old_kinds"), F.count_distinct(F.when(~removed, F.col("columns"))).alias("new_kinds"),
+        F.count_distinct(F.when(removed, F.col("cid"))).alias("old_classes"), F.count_distinct(F.when(~removed, F.col("cid"))).alias("new_classes"),
+    )
+    shape = shape.join(here.groupBy("gid").agg(F.count(F.lit(1)).alias("links")), "gid", "left").join(kinds.groupBy("gid").agg(F.count(F.lit(1)).alias("meets")), "gid", "left")
+    by_kind = F.col("all_by_kind") & ~F.col("asks") & (F.col("meets") == F.col("old_kinds") * F.col("new_kinds"))
+    by_class = F.col("all_by_class") & (F.col("links") == F.col("old_classes") * F.col("new_classes"))
+    free = cut_lineage(shape.filter(by_kind | by_class).select("gid"))
+    old, new = (active.filter(F.col("side") == s).join(free, "gid", "left_semi").select("gid", "n", F.col("items").alias(c)) for s, c in (("removed", "old_items"), ("added", "new_items")))
+    return old.join(new, ["gid", "n"]).select("gid", "old_items", "new_items"), cut_lineage(active.join(free, "gid", "left_anti"))
+
+
 def _item_counts(rows: DataFrame) -> DataFrame:
     """How many rows of each side of a group carry an item, for items on both sides."""
     removed = F.col("side") == "removed"
@@ -301,7 +427,8 @@ def _classes(rows: DataFrame, constants: DataFrame) -> tuple[DataFrame, DataFram
     # bounded by the number of columns of one row
     sig = exploded.groupBy("gid", "side", "items").agg(F.array_sort(F.collect_list(F.struct("freq", "item"))).alias("sig"))
     removed = F.col("side") == "removed"
-    members = sig.join(rows_id, ["gid", "side", "items"]).join(constants, "gid").select(
+    members = rows_id.join(sig, ["gid", "side", "items"], "left").withColumn("sig", F.coalesce("sig", F.array().cast(sig.schema["sig"].dataType)))
+    members = members.join(constants, "gid").select(
         "gid", "side", "items", "sig", "columns", "must", "constants",
         (removed & F.col("keyed")).alias("keyed"), (removed & F.col("listed")).alias("listed"),
         F.when(F.col("any_listed"), _remark(F.col("items"))).alias("guard"),
@@ -311,7 +438,9 @@ def _classes(rows: DataFrame, constants: DataFrame) -> tuple[DataFrame, DataFram
     told = ["sig", "columns", "must", "keyed", "listed", "guard", "constants", "need"]
     members = cut_lineage(members.withColumn("cid", F.md5(F.to_json(F.struct("side", *told)))))
     classes = members.groupBy("gid", "side", "cid").agg(*[F.any_value(c).alias(c) for c in told])
-    return classes, members.select("gid", "side", "cid", "items")
+    # Of list remarks also what is said, for the topic of rows that share no value of their own.
+    said = members.withColumns({"said": T.canon(F.col("guard")), "stems": T.stems(F.col("guard"))})
+    return classes, said.select("gid", "side", "cid", "items", "columns", "must", "constants", "keyed", "listed", "said", "stems")
 
 
 def _class_edges(classes: DataFrame) -> DataFrame:
@@ -339,112 +468,6 @@ def _strangers(listed: Column, old: Column, new: Column) -> Column:
     return F.coalesce(T.unrelated(F.when(listed, old), F.when(listed, new)), F.lit(False))
 
 
-def match_classes(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """D-4 as rounds of mutual-best matching over classes.
-
-    In a round every class looks at its best remaining score. Edges that are best for both
-    ends are taken; a star (one centre, leaves with no other best edge) is consumed by zipping
-    the centre's members with the leaves' members in sorted order, other ties advance by their
-    first members. Each round is checkpointed, so a lost executor repeats one round only.
-    """
-    spark = edges.sparkSession
-    edges = cut_lineage(edges)
-    alive = cut_lineage(members)
-    found: list[DataFrame] = []
-    while True:
-        batch = cut_lineage(_round(edges, alive))
-        if batch.isEmpty():
-            break
-        found.append(batch)
-        used = batch.select("gid", F.lit("removed").alias("side"), F.col("old_items").alias("items")).unionByName(
-            batch.select("gid", F.lit("added").alias("side"), F.col("new_items").alias("items"))
-        )
-        alive = cut_lineage(alive.join(used, ["gid", "side", "items"], "left_anti"))
-        left = alive.filter(F.col("side") == "removed").select("gid", F.col("cid").alias("l")).distinct()
-        right = alive.filter(F.col("side") == "added").select("gid", F.col("cid").alias("r")).distinct()
-        edges = cut_lineage(edges.join(left, ["gid", "l"], "left_semi").join(right, ["gid", "r"], "left_semi"))
-        if edges.isEmpty():
-            break
-    if not found:
-        return spark.createDataFrame([], f"gid string, old_items {ITEMS}, new_items {ITEMS}")
-    return reduce(DataFrame.unionByName, found)
-
-
-def _round(edges: DataFrame, alive: DataFrame) -> DataFrame:
-    top_l = edges.groupBy("gid", "l").agg(F.max("score").alias("best_l"))
-    top_r = edges.groupBy("gid", "r").agg(F.max("score").alias("best_r"))
-    best = edges.join(top_l, ["gid", "l"]).join(top_r, ["gid", "r"])
-    best = best.filter((F.col("score") == F.col("best_l")) & (F.col("score") == F.col("best_r"))).select("gid", "l", "r", "score")
-    # edges at a class's best score whose other end has something better still block it
-    wanted_l = edges.join(top_l, ["gid", "l"]).filter(F.col("score") == F.col("best_l")).groupBy("gid", "l").agg(F.count(F.lit(1)).alias("deg_l"))
-    wanted_r = edges.join(top_r, ["gid", "r"]).filter(F.col("score") == F.col("best_r")).groupBy("gid", "r").agg(F.count(F.lit(1)).alias("deg_r"))
-    best = best.join(wanted_l, ["gid", "l"]).join(wanted_r, ["gid", "r"])
-    sum_l = best.groupBy("gid", "l").agg(F.max("deg_r").alias("max_deg_r"), F.count(F.lit(1)).alias("mutual_l"))
-    sum_r = best.groupBy("gid", "r").agg(F.max("deg_l").alias("max_deg_l"), F.count(F.lit(1)).alias("mutual_r"))
-    best = best.join(sum_l, ["gid", "l"]).join(sum_r, ["gid", "r"])
-    centre_l = (F.col("max_deg_r") == 1) & (F.col("deg_l") == F.col("mutual_l"))
-    centre_r = (F.col("max_deg_l") == 1) & (F.col("deg_r") == F.col("mutual_r"))
-    best = cut_lineage(
-        best.withColumn("centre", F.when(centre_l, F.concat(F.lit("l"), F.col("l"))).when(centre_r, F.concat(F.lit("r"), F.col("r"))))
-    )
-    stars = best.filter(F.col("centre").isNotNull())
-    out = _zip_stars(stars, alive)
-    tied = best.filter(F.col("centre").isNull())
-    if not tied.isEmpty():
-        out = out.unionByName(_first_members(tied, alive))
-    return out
-
-
-def _zip_stars(stars: DataFrame, alive: DataFrame) -> DataFrame:
-    side = lambda s, n: (
-        stars.select("gid", "centre", F.col(n).alias("cid")).distinct()
-        .join(alive.filter(F.col("side") == s), ["gid", "cid"])
-        .select("gid", "centre", "items")
-    )
-    old = ordinal(side("removed", "l"), ["gid", "centre"], ["items"], "n").withColumnRenamed("items", "old_items")
-    new = ordinal(side("added", "r"), ["gid", "centre"], ["items"], "n").withColumnRenamed("items", "new_items")
-    return old.join(new, ["gid", "centre", "n"]).select("gid", "old_items", "new_items")
-
-
-def _first_members(tied: DataFrame, alive: DataFrame) -> DataFrame:
-    """For ties that are no star: an edge whose first members are each other's first choice.
-    An end that still waits for a better-placed partner (a best edge that is not mutual) holds."""
-    settled = (F.col("deg_l") == F.col("mutual_l")) & (F.col("deg_r") == F.col("mutual_r"))
-    head = alive.groupBy("gid", "cid").agg(F.min("items").alias("head"))
-    e = tied.join(head.select("gid", F.col("cid").alias("l"), F.col("head").alias("old_items")), ["gid", "l"]).join(
-        head.select("gid", F.col("cid").alias("r"), F.col("head").alias("new_items")), ["gid", "r"]
-    )
-    first_r = e.groupBy("gid", "l").agg(F.min("new_items").alias("first_new"))
-    first_l = e.groupBy("gid", "r").agg(F.min("old_items").alias("first_old"))
-    e = e.join(first_r, ["gid", "l"]).join(first_l, ["gid", "r"])
-    return e.filter(settled & (F.col("new_items") == F.col("first_new")) & (F.col("old_items") == F.col("first_old"))).select(
-        "gid", "old_items", "new_items"
-    )
-
-
-def _zip_sides(rows: DataFrame) -> DataFrame:
-    """Pairs of rows that share the constant items only: per group, the column sets of the best score that
-    is high enough (of equal ones the first), zipped in sorted order. Called until nothing is found.
-
-    A removed row that asks for a key or a topic of its own is compared with the row it meets; a pair
-    that fails stays apart.
-    """
-    of = lambda s, n: rows.filter(F.col("side") == s).groupBy("gid", F.col("columns").alias(n)).agg(
-        F.any_value("constants").alias("constants"), F.coalesce(F.bool_or(F.when(F.col("side") == "removed", F.col("keyed"))), F.lit(False)).alias("keyed")
-    )
-    kinds = of("removed", "old_columns").join(of("added", "new_columns").drop("constants", "keyed"), "gid")
-    kinds = kinds.withColumn("score", F.col("constants") / F.greatest(F.size(F.array_union("old_columns", "new_columns")), F.lit(1)))
-    best = kinds.filter(F.col("keyed") | (F.col("score") >= MIN_SCORE)).groupBy("gid").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "old_columns", "new_columns")).alias("kind")
-    ).select("gid", "kind.s", "kind.old_columns", "kind.new_columns")
-    old = rows.filter("side = 'removed'").join(best, "gid").filter((F.col("columns") == F.col("old_columns")) & (F.col("keyed") | (F.col("s") <= -MIN_SCORE)))
-    new = rows.filter("side = 'added'").join(best, "gid").filter(F.col("columns") == F.col("new_columns"))
-    old = ordinal(old.select("gid", "items", "listed", "must"), ["gid"], ["items"], "n").withColumnRenamed("items", "old_items")
-    new = ordinal(new.select("gid", "items", F.col("must").alias("offered")), ["gid"], ["items"], "n").withColumnRenamed("items", "new_items")
-    both = old.join(new, ["gid", "n"]).filter(meets(F.col("must"), F.col("offered")))
-    return both.filter(~_strangers(F.col("listed"), _remark(F.col("old_items")), _remark(F.col("new_items")))).select("gid", "old_items", "new_items")
-
-
 # --- assignment over given edges ------------------------------------------------------------
 
 

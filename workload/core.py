@@ -220,7 +220,29 @@ def change_counts(spark, sf):
 
 
 # --- D-3, D-4 without keys --------------------------------------------------------------------
-@query()
+@query(f"""
+WITH {LINES_SQL},
+r0 AS (SELECT * FROM l_old EXCEPT SELECT * FROM l_new), a0 AS (SELECT * FROM l_new EXCEPT SELECT * FROM l_old),
+r1 AS (SELECT * FROM r0 WHERE NOT EXISTS (SELECT 1 FROM l_new x WHERE x.l_orderkey = r0.l_orderkey
+   AND x.l_partkey = r0.l_partkey AND x.l_suppkey = r0.l_suppkey AND x.qty = r0.qty AND x.flag = r0.flag)),
+a1 AS (SELECT * FROM a0 WHERE NOT EXISTS (SELECT 1 FROM l_old x WHERE x.l_orderkey = a0.l_orderkey
+   AND x.l_partkey = a0.l_partkey AND x.l_suppkey = a0.l_suppkey AND x.qty = a0.qty AND x.flag = a0.flag)),
+both_sides AS (SELECT 'removed' AS side, * FROM r1 UNION ALL SELECT 'added', * FROM a1),
+told AS (SELECT side, CAST(l_orderkey AS VARCHAR) AS entity, flag, CAST(l_partkey AS VARCHAR) AS part, CAST(qty AS VARCHAR) AS qty,
+  CAST(slot AS VARCHAR) AS slot, CAST(l_suppkey AS VARCHAR) AS supplier FROM both_sides),
+placed AS (SELECT *, row_number() OVER (PARTITION BY side, entity ORDER BY flag, part, qty, slot, supplier) AS n,
+  '{{"FLAG":"' || flag || '","PART":"' || part || '","QTY":"' || qty || '","SLOT":"' || slot || '","SUPPLIER":"' || supplier || '"}}' AS line FROM told),
+r AS (SELECT * FROM placed WHERE side = 'removed'), a AS (SELECT * FROM placed WHERE side = 'added'),
+edges AS (SELECT r.entity, r.n AS i, 1000000 + a.n AS j,
+   (r.flag = a.flag)::INT + (r.part = a.part)::INT + (r.qty = a.qty)::INT + (r.slot = a.slot)::INT + (r.supplier = a.supplier)::INT AS shared
+  FROM r JOIN a ON a.entity = r.entity),
+chosen AS (SELECT entity, list_reduce(list([i, j] ORDER BY shared DESC, i, j),
+    lambda m, e: CASE WHEN list_contains(m, e[1]) OR list_contains(m, e[2]) THEN m ELSE m || e END, []::BIGINT[]) AS m
+  FROM edges WHERE shared >= 3 GROUP BY entity),
+pairs AS (SELECT entity, unnest(list_transform(range(1, len(m), 2), lambda k: {{'i': m[k], 'j': m[k + 1] - 1000000}})) AS p FROM chosen)
+SELECT r.entity, r.line AS old, a.line AS new FROM pairs JOIN r ON r.entity = pairs.entity AND r.n = p.i JOIN a ON a.entity = pairs.entity AND a.n = p.j
+UNION ALL SELECT entity, line, NULL FROM r WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE pairs.entity = r.entity AND p.i = r.n)
+UNION ALL SELECT entity, NULL, line FROM a WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE pairs.entity = a.entity AND p.j = a.n)""")
 def greedy_pairing(spark, sf):
     """Lines of an order carry no key: removed and added lines pair by shared values."""
     old, new = line_rows(spark, sf)
@@ -230,6 +252,39 @@ def greedy_pairing(spark, sf):
     return pairs.select("entity", text("old_items").alias("old"), text("new_items").alias("new"))
 
 
+# --- D-5: remarks of a list, all reworded, some gone and some new ------------------------------
+# The number of a customer, in letters that no other segment uses: remarks of two segments are unlike.
+SCRIPTS = {"AUTOMOBILE": 0x3B1, "BUILDING": 0x430, "FURNITURE": 0x5D0, "MACHINERY": 0x10D0, "HOUSEHOLD": 0x561}
+SPELLED_SQL = " ".join(
+    f"WHEN '{name}' THEN translate(lpad(CAST(c_custkey AS VARCHAR), 10, '0'), '0123456789', '{''.join(chr(first + k) for k in range(10))}')"
+    for name, first in SCRIPTS.items()
+)
+REMARKS_SQL = f"c_mktsegment || ' ' || CASE c_mktsegment {SPELLED_SQL} END"
+LIST_RULES = RuleSet(remark_files=("REMARKS",), list_topics=("GENERAL_REMARK",))
+
+
+@query(f"""
+WITH said AS (SELECT CAST(c_nationkey AS VARCHAR) AS entity, c_mktsegment, c_acctbal, {REMARKS_SQL} AS remark FROM customer),
+o AS (SELECT *, row_number() OVER (PARTITION BY entity, c_mktsegment ORDER BY encode(remark)) AS n FROM said WHERE c_acctbal < 9000),
+w AS (SELECT *, row_number() OVER (PARTITION BY entity, c_mktsegment ORDER BY encode(remark || ' AGAIN')) AS n FROM said WHERE c_acctbal >= 0)
+SELECT coalesce(o.entity, w.entity) AS entity, o.remark AS old, w.remark || ' AGAIN' AS new
+FROM o FULL JOIN w ON w.entity = o.entity AND w.c_mktsegment = o.c_mktsegment AND w.n = o.n""")
+def list_remark_pairing(spark, sf):
+    """Remarks of a nation that share nothing but being remarks: each pairs with one of its own topic."""
+    c = table(spark, sf, "customer")
+    number, seg = F.lpad(F.col("c_custkey").cast("string"), 10, "0"), F.col("c_mktsegment")
+    spelled = F.lit(None).cast("string")
+    for name, first in SCRIPTS.items():
+        spelled = F.when(seg == name, F.translate(number, "0123456789", "".join(chr(first + k) for k in range(10)))).otherwise(spelled)
+    c = c.withColumn("remark", F.concat_ws(" ", seg, spelled))
+    rows = lambda df, text: diff.snapshot(df, "REMARKS", F.col("c_nationkey"), {"REF_COL_NAME": F.lit("GENERAL_REMARK"), "TAB_NAME": F.lit("T"), "REMARK": text})
+    old = rows(c.filter("c_acctbal < 9000"), F.col("remark"))
+    new = rows(c.filter("c_acctbal >= 0"), F.concat("remark", F.lit(" AGAIN")))
+    pairs = pairing.pair_rows(diff.set_difference(old, new), LIST_RULES, small_pairs=0)
+    said = lambda c: F.map_from_entries(c)["REMARK"]
+    return pairs.select("entity", said(F.col("old_items")).alias("old"), said(F.col("new_items")).alias("new"))
+
+
 # --- P-3, P-4 and D-7 -------------------------------------------------------------------------
 EDIT_RULES = RuleSet(
     pair_keys={"CUST": ("CUST",)}, id_columns=("CUST",), context_columns=("SEGMENT", "NATION"),
