@@ -54,6 +54,43 @@ def test_broken_member_fails(spark, tmp_path):
         archive.read_snapshots(spark, str(tmp_path)).collect()
 
 
+def records(rng, n, end, odd=False):
+    """CSV bytes with quoted separators, quotes, line ends and empty fields."""
+    pick = lambda: rng.choice(["", "x", '"a,b"', '"say ""hi"""', '"two\nlines"', '""', '"é"', '"' + "long " * 30 + '"', *(['5" pipe', 'a""b'] if odd else [])])
+    return end.join(["K,A, B ", *(f"{i},{pick()},{pick()}" for i in range(n)), ""]).encode()
+
+
+@pytest.mark.parametrize("odd", [False, True])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_members_split_where_records_end(spark, tmp_path, end, odd):
+    import csv
+    import random
+
+    raw = b"\xef\xbb\xbf" * (end == "\n") + records(random.Random(len(end)), 400, end, odd)
+    (tmp_path / "2026-09-03_CSV.zip").write_bytes(zipped([("APT_BASE.csv", raw), ("APT_RWY.csv", b"K"), ("FIX_BASE.csv", b"K,A\n1,2"), ("NAV_BASE.csv", b"")]))
+    kept = archive.unique_members(archive.wanted(archive.members(spark, str(tmp_path))))
+    text = raw.decode("utf-8-sig").replace("\r\n", "\n").replace("\r", "\n")
+    want = sorted(tuple(r) for r in list(csv.reader(io.StringIO(text, newline="")))[1:])
+    parts = {}
+    for size in (50, 700, 1 << 20):
+        found = archive.pieces(spark, kept, size)
+        rows = archive.parse_rows(found).collect()
+        assert sorted((r.row["K"], r.row["A"], r.row["B"]) for r in rows if r.file == "APT_BASE") == want
+        assert [dict(r.row) for r in rows if r.file == "FIX_BASE"] == [{"K": "1", "A": "2"}] and not [r for r in rows if r.file in ("APT_RWY", "NAV_BASE")]
+        parts[size] = found.filter("file = 'APT_BASE'").count()
+    assert parts[50] >= parts[700] >= parts[1 << 20] == 1
+    if not odd:
+        assert parts[50] > 100 and archive.parse_rows(archive.pieces(spark, kept, 700)).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_an_error_names_its_file_and_line(spark, tmp_path):
+    raw = b"K,A\n" + b"".join(b"%d,x\n" % i for i in range(300)) + b'300,"open\n'
+    (tmp_path / "2026-09-03_CSV.zip").write_bytes(zipped([("APT_BASE.csv", raw)]))
+    kept = archive.unique_members(archive.wanted(archive.members(spark, str(tmp_path))))
+    with pytest.raises(Exception, match=r"APT_BASE \(2026-09-03\) does not parse after line 30[12]"):
+        archive.parse_rows(archive.pieces(spark, kept, 100)).collect()
+
+
 LOG = """<?xml version="1.0"?><digital_tpp cycle="2610" from_edate="0901Z  10/01/26"><state_code ID="X"><city_name>
 <airport_name ID="A" apt_ident="abc">{}</airport_name></city_name></state_code></digital_tpp>"""
 REC = "<record><chart_code>{}</chart_code><chart_name>{}</chart_name><useraction>{}</useraction><pdf_name>{}</pdf_name><amdtnum>{}</amdtnum><amdtdate>{}</amdtdate><procuid>{}</procuid></record>"

@@ -20,6 +20,11 @@ BLANKS = " \t\r\n\f"
 APART = r"^[\s-]+$"
 
 
+def capitals(text: Column) -> Column:
+    """a-z as A-Z and nothing else, so that places in the text stay the same."""
+    return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def parsed(text: Column) -> Column:
     """struct<lead, w, sep>: the runs ``w`` and what follows each, ``sep``."""
     return F.struct(
@@ -31,12 +36,12 @@ def parsed(text: Column) -> Column:
 
 def at(t: Column, k: Column) -> Column:
     """The run at a place, empty outside the text."""
-    return F.when(k >= 0, F.coalesce(F.get(t["w"], k), F.lit(""))).otherwise("")
+    return F.coalesce(F.get(t["w"], k), F.lit(""))
 
 
 def after(t: Column, k: Column) -> Column:
     """What follows the run at a place; what leads the text for place -1."""
-    return F.when(k >= 0, F.coalesce(F.get(t["sep"], k), F.lit(""))).otherwise(F.when(k == -1, t["lead"]).otherwise(""))
+    return F.coalesce(F.get(t["sep"], k), F.when(k == -1, t["lead"]), F.lit(""))
 
 
 def places(t: Column, test: Callable[[Column], Column]) -> Column:
@@ -80,14 +85,23 @@ def spliced(t: Column, chosen: Column) -> Column:
     return F.concat(F.array_join(F.transform(chosen, segment), ""), after(t, last - 1), joined(t, last, F.greatest(F.size(t["w"]) - last, F.lit(0))))
 
 
+def words_of(t: Column) -> Column:
+    """The words of a parsed text; the letters of initials, two or three with points, are one."""
+    initial = lambda k: is_word(at(t, k)) & (F.length(at(t, k)) == 1)
+    tied = lambda k: initial(k) & (after(t, k) == ".") & initial(k + 1) & after(t, k + 1).startswith(".")
+    alone = F.transform(places(t, lambda k: is_word(at(t, k)) & ~tied(k) & ~tied(k - 1)), lambda k: at(t, k))
+    third = lambda k: F.when(tied(k + 1), at(t, k + 2)).otherwise("")
+    return F.concat(alone, F.transform(places(t, lambda k: tied(k) & ~tied(k - 1)), lambda k: F.concat(at(t, k), at(t, k + 1), third(k))))
+
+
 # --- what is no word ----------------------------------------------------------------------------
 def without_addresses(text: Column) -> Column:
     """A text in which no blank-free stretch is a mail or web address; blanks become one."""
     stretches = F.split(F.trim(F.translate(text, BLANKS, "     ")), " +")
     web = lambda c: F.substring_index(F.substring_index(F.substring_index(c, "HTTP://", 1), "HTTPS://", 1), "WWW.", 1)
     mail = lambda c: (F.instr(c, "@") > 1) & ~c.endswith("@")
-    kept = F.transform(stretches, lambda c: F.when(mail(c), "").when(web(F.upper(c)) != F.upper(c), F.substring(c, F.lit(1), F.length(web(F.upper(c))))).otherwise(c))
-    return F.when(F.contains(text, F.lit("@")) | F.contains(F.upper(text), F.lit("WWW.")) | F.contains(F.upper(text), F.lit("://")), F.array_join(kept, " ")).otherwise(text)
+    kept = F.transform(stretches, lambda c: F.when(mail(c), "").when(web(capitals(c)) != capitals(c), F.substring(c, F.lit(1), F.length(web(capitals(c))))).otherwise(c))
+    return F.when(F.contains(text, F.lit("@")) | F.contains(capitals(text), F.lit("WWW.")) | F.contains(capitals(text), F.lit("://")), F.array_join(kept, " ")).otherwise(text)
 
 
 def pavement_codes(t: Column) -> Column:
@@ -123,7 +137,7 @@ def masked(text: Column) -> Column:
         )
         return let(pavement_codes(t), body)
 
-    return let(parsed(without_addresses(F.upper(text))), hide)
+    return let(parsed(without_addresses(capitals(text))), hide)
 
 
 def compounds(text: Column) -> Column:

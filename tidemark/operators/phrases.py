@@ -21,7 +21,7 @@ from tidemark.session import broadcast_if_bounded
 
 def spelled(phrase: Column) -> Column:
     """A phrase as the join sees it: its words and numbers in capitals, by single blanks."""
-    return F.array_join(K.parsed(F.upper(phrase))["w"], " ")
+    return F.array_join(K.parsed(K.capitals(phrase))["w"], " ")
 
 
 def _grams(t: Column, n: int) -> Column:
@@ -42,7 +42,7 @@ def matches(texts: DataFrame, key: Sequence[str], text: str, phrases: DataFrame)
     lengths = [r[0] for r in phrases.select(F.size(F.split("phrase", " "))).distinct().collect()]  # a few small numbers
     if not lengths:
         lengths = [1]
-    every = let(K.parsed(F.upper(F.col(text))), lambda t: F.concat(*[_grams(t, n) for n in sorted(lengths)]))
+    every = let(K.parsed(K.capitals(F.col(text))), lambda t: F.concat(*[_grams(t, n) for n in sorted(lengths)]))
     found = texts.select(*key, F.explode(every).alias("__g")).select(*key, "__g.start", "__g.n", F.col("__g.gram").alias("phrase"))
     return found.join(broadcast_if_bounded(phrases), "phrase")
 

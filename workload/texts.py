@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import glossary as G
+from tidemark.operators import phrases as P
 from tidemark.operators import translation as TR
 from tidemark.session import spread
 from workload.core import query_set
@@ -83,6 +84,125 @@ def unknown_terms(spark, sf):
     return G.unknown_term_counts(texts, "text", ["id"], word_glossary(spark, sf), names)
 
 
+# --- T-6, T-10: many phrases, one splice ------------------------------------------------------
+# Phrases that overlap and begin alike; each is replaced by its number.
+PHRASES = ("the the of", "and the of", "to the and", "the the", "of the", "and the", "the and", "the of", "of", "de la")
+GAP = r"[\s-]+"
+
+
+def _pattern(phrase: str) -> str:
+    return phrase.replace(" ", GAP)
+
+
+def _numbered_sql(marked: str) -> str:
+    for k, phrase in enumerate(PHRASES):
+        marked = f"regexp_replace({marked}, '(?i)' || chr(1) || '{_pattern(phrase)}' || chr(2), '<{k}>', 'g')"
+    return marked
+
+
+@query(f"""
+WITH m AS (SELECT conv_id, turn, regexp_replace(text, '(?i)\\b({"|".join(map(_pattern, PHRASES))})\\b', chr(1) || '\\1' || chr(2), 'g') AS marked FROM conversations)
+SELECT conv_id, turn, {_numbered_sql("marked")} AS rewritten, length(marked) - length(replace(marked, chr(1), '')) AS replaced FROM m""".replace("\\\\", "\\"))
+def phrase_rewriting(spark, sf):
+    """Overlapping phrases in all turns: the leftmost longest is replaced, and nothing is replaced twice."""
+    rules = spark.createDataFrame([(p, f"<{k}>", f"{k:02d}") for k, p in enumerate(PHRASES)], "phrase string, say string, rank string")
+    out = P.rewrite(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", rules)
+    return out.select("conv_id", "turn", "rewritten", F.col("replaced").cast("bigint").alias("replaced"))
+
+
+_COUNT = lambda text, pattern: f"len(regexp_extract_all({text}, '(?i)\\b{pattern}\\b'))".replace("\\\\", "\\")
+_AFTER, _BEFORE = f"the{GAP}of", f"and{GAP}the"
+
+
+@query(f"""
+WITH p AS (SELECT conv_id * 1000 + turn AS pair, text AS raw, CASE WHEN role = 'assistant' THEN text || ' ' || text ELSE text END AS plain FROM conversations),
+c AS (SELECT *, {_COUNT("plain", _AFTER)} AS a, {_COUNT("plain", f"the{GAP}belonging{GAP}to")} AS a_said, {_COUNT("raw", _AFTER)} AS a_raw,
+  {_COUNT("plain", _BEFORE + "s?")} AS b, {_COUNT("plain", f"together{GAP}with{GAP}thes?")} AS b_said, {_COUNT("raw", _BEFORE)} AS b_raw FROM p),
+d AS (SELECT *, a > 0 AND a + a_said <= a_raw AS due_a, b > 0 AND b + b_said <= b_raw AS due_b FROM c),
+m AS (SELECT pair, CASE WHEN due_a AND due_b THEN regexp_replace(plain, '(?i)\\b({_BEFORE}s?|{_AFTER})\\b', chr(1) || '\\1' || chr(2), 'g')
+  WHEN due_a THEN regexp_replace(plain, '(?i)\\b({_AFTER})\\b', chr(1) || '\\1' || chr(2), 'g')
+  WHEN due_b THEN regexp_replace(plain, '(?i)\\b({_BEFORE}s?)\\b', chr(1) || '\\1' || chr(2), 'g') ELSE plain END AS t FROM d),
+w AS (SELECT pair, regexp_replace(t, '(?i)([.!?]\\s*)' || chr(1) || 'and({GAP})(thes?)' || chr(2), '\\1Together with\\2\\3', 'g') AS t FROM m)
+SELECT pair, regexp_replace(regexp_replace(regexp_replace(t, '(?i)^([^A-Za-z0-9]*)' || chr(1) || 'and({GAP})(thes?)' || chr(2), '\\1Together with\\2\\3'),
+  '(?i)' || chr(1) || 'and({GAP})(thes?)' || chr(2), 'together with\\1\\2', 'g'), '(?i)' || chr(1) || '(the)({GAP})of' || chr(2), '\\1\\2belonging to', 'g') AS plain FROM w""".replace("\\\\", "\\"))
+def context_meanings(spark, sf):
+    """Words that mean something by others, said so where a text has them no more often than the raw text does."""
+    c = table(spark, sf, "conversations")
+    pairs = c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), F.col("text").alias("raw"),
+        F.when(F.col("role") == "assistant", F.concat_ws(" ", "text", "text")).otherwise(F.col("text")).alias("plain"),
+    )
+    listed = "term string, expansion string, meanings array<string>, verified boolean, source string, note string, accept array<string>, english boolean"
+    glossary = spark.createDataFrame([("OF", None, [], False, None, None, [], True), ("AND", None, [], False, None, None, [], False), ("WITH", "together with", ["together with"], True, "CS", None, [], False)], listed)
+    after = spark.createDataFrame([("OF", ["THE"], "belonging to")], "term string, near array<string>, meaning string")
+    before = spark.createDataFrame([("AND", ["THE"], "WITH")], "term string, near array<string>, form string")
+    return TR.in_context(pairs, G.context_rules(glossary, after, before), glossary).select("pair", "plain")
+
+
+# --- T-7, T-8: what covers what ---------------------------------------------------------------
+# A remark for each customer, and the terms of it that no list settles.
+REMARKS = {
+    "AUTOMOBILE": ("'PHYS ADS ' || k || ' E OSBORN GROVE RD, AKRON, OH 44094-8174. SS-SR'", ("PHYS", "ADS")),
+    "BUILDING": ("'RWY ' || k || ' ACCESS RD, 25 FT X 30 FT RD; SR-SS'", ("RWY", "RD", "RD", "FT", "FT", "SR", "SS")),
+    "FURNITURE": ("'SEE WWW.X.ORG/RD OR OPS' || k || '@X.ORG PCR 5/R/B/W/T, TX'", ("SEE", "PCR")),
+    "MACHINERY": ("'FUEL H24 GTE-' || k || '-A KODIAK AK 99615, BLDG ' || k", ("GTE", "BLDG")),
+    "HOUSEHOLD": ("'TRANS ALERT NR LK ' || k || ' NW CIR, QTRS ON OAK BLVD'", ("NR", "LK", "NW", "QTRS", "OAK", "BLVD")),
+}
+_TERMS_SQL = " UNION ALL ".join(f"SELECT '{seg}' AS seg, '{t}' AS term, {ts.count(t)} AS n" for seg, (_, ts) in REMARKS.items() for t in sorted(set(ts)))
+
+
+@query(f"""
+WITH t AS ({_TERMS_SQL}) SELECT c_custkey AS id, term, CAST(n AS BIGINT) AS n FROM customer JOIN t ON seg = c_mktsegment""")
+def term_masks(spark, sf):
+    """Hyphenated and numbered terms, addresses, state codes, streets, measurements and a term with a rule."""
+    listed = "term string, expansion string, meanings array<string>, verified boolean, source string, note string, accept array<string>, english boolean"
+    word = lambda term, meaning: (term, meaning, [meaning], True, "CS", None, [], False)
+    base = spark.createDataFrame([word("SUNS", "sunset"), word("SUNR", "sunrise"), word("H24", "continuous operation"), word("TRAN", "transient"), ("TRANS", None, [], False, None, None, [], False)], listed)
+    joint = spark.createDataFrame([("SS-SR", ["SUNS", "SUNR"], [r"\bsunset\b.*\bsunrise\b"])], "term string, parts array<string>, accept array<string>")
+    glossary = G.with_parts(base, joint)
+    before = spark.createDataFrame([("TRANS", ["ALERT"], "TRAN")], "term string, near array<string>, form string")
+    rules = G.context_rules(glossary, spark.createDataFrame([], "term string, near array<string>, meaning string"), before)
+    c = table(spark, sf, "customer")
+    text = F.lit(None).cast("string")
+    for seg, (said, _) in REMARKS.items():
+        parts = [F.col("c_custkey").cast("string") if x.strip() == "k" else F.lit(x.strip()[1:-1]) for x in said.split("||")]
+        text = F.when(F.col("c_mktsegment") == seg, F.concat(*parts)).otherwise(text)
+    names = spark.createDataFrame([("ZZZ",)], "name string")
+    return G.review_terms(c.select(F.col("c_custkey").alias("id"), text.alias("text")), "text", ["id"], glossary, names, ("OH", "AK", "TX"), rules)
+
+
+# --- T-9, terms ---------------------------------------------------------------------------------
+# What a translation says of a segment's code, by the customer's balance, and what is wrong with it.
+SAID = {
+    "AUTOMOBILE": ("lane for automobiles", "automobiles wait"), "BUILDING": ("building extended", "builder seen"), "FURNITURE": ("not available", "available"),
+    "MACHINERY": ("firefighting hall", "fire seen"), "HOUSEHOLD": ("permitted", "perhaps"),
+}
+CODES = {"AUTOMOBILE": ("AULN", "automobile lane"), "BUILDING": ("BLDX", "building extension"), "FURNITURE": ("UNAV", "unavailable"), "MACHINERY": ("FRFT", "fire fighting"), "HOUSEHOLD": ("PRMS", "permission")}
+_SAID_SQL = " ".join(f"WHEN '{seg}' THEN '{CODES[seg][0]}'" for seg in CODES)
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey AS pair, c_acctbal, CASE c_mktsegment {_SAID_SQL} END AS term FROM customer)
+SELECT pair, CASE WHEN c_acctbal >= 3000 AND c_acctbal < 6000 THEN term || ' has a verified meaning the translation does not say' ELSE 'QXZ has no verified meaning; it must stay as written' END AS problem
+FROM c WHERE c_acctbal >= 3000
+UNION ALL SELECT pair, 'dropped WINDOW' FROM c WHERE c_acctbal >= 8000""")
+def translation_term_problems(spark, sf):
+    """Codes said with their meaning (as one word, with another ending, denied, as the verb of a noun), not said, or
+    copied; an unclear term reworded; a plain word dropped."""
+    c = table(spark, sf, "customer")
+    seg, bal, number = F.col("c_mktsegment"), F.col("c_acctbal"), F.col("c_custkey").cast("string")
+    choose = lambda values: F.coalesce(*[F.when(seg == s, F.lit(v)) for s, v in values.items()])
+    code = choose({s: v[0] for s, v in CODES.items()})
+    said = F.when(bal < 3000, choose({s: v[0] for s, v in SAID.items()})).when(bal < 6000, choose({s: v[1] for s, v in SAID.items()})).otherwise(code)
+    raw = F.concat(code, F.lit(" GATE "), number, F.lit(" QXZ WINDOW"))
+    plain = F.concat(said, F.lit(" gate "), number, F.when(bal < 6000, " QXZ").otherwise(" quartz"), F.when(bal < 8000, " windows").otherwise(""))
+    listed = "term string, expansion string, meanings array<string>, verified boolean, source string, note string, accept array<string>, english boolean"
+    rows = [(t, m, [m], True, "CS", None, [], False) for t, m in CODES.values()] + [("QXZ", None, [], False, None, "two meanings", [], False)]
+    pairs = TR.with_terms(spread(c.select(F.col("c_custkey").alias("pair"), raw.alias("raw"), plain.alias("plain"))), spark.createDataFrame(rows, listed))
+    found = TR.term_problems(F.filter("terms", lambda t: ~t["of_code"]), F.col("plain"), TR.plain_words(F.col("plain")), F.lower("plain"))
+    return TR.problem_rows(pairs.withColumn("problems", found))
+
+
 # --- T-9, number part -------------------------------------------------------------------------
 def turn_pairs(spark, sf):
     """A user turn and the assistant turn that answers it."""
