@@ -8,14 +8,14 @@ least). Added rows wait in one queue per label, so a choice looks at the heads o
 
 from __future__ import annotations
 
-import difflib
-from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from tidemark.config.rules import UNRELATED_RATIO
+from tidemark.functions.text import reaches
 
 
 @dataclass(frozen=True)
@@ -76,22 +76,63 @@ class Queue:
             self.free.take(self.place[row])
 
 
+def by_labels(asks: Sequence[Sequence[Iterable[str]]], offers: Sequence[Iterable[str]]) -> list[tuple[int, int]]:
+    """(removed, added) places in the order of choice. Both sides are in sorted order; ``asks`` has for each
+    removed row and level the labels of which an added row has to offer one."""
+    queues: dict = defaultdict(Queue)
+    for j, labels in enumerate(offers):
+        for label in labels:
+            queues[label].rows.append(j)
+    for queue in queues.values():
+        queue.close()
+    waiting, out = list(range(len(asks))), []
+    for level in range(max(map(len, asks), default=0)):
+        left = []
+        for i in waiting:
+            heads = [queues[label].head() for label in asks[i][level] if label in queues]
+            j = min((h for h in heads if h is not None), default=None)
+            if j is None:
+                left.append(i)
+                continue
+            for label in offers[j]:
+                queues[label].take(j)
+            out.append((i, j))
+        waiting = left
+    return out
+
+
 class Ratios(dict):
     """difflib's ratio of two texts, computed once; False for texts that cannot reach the bar."""
 
     def __missing__(self, pair: tuple[str, str]) -> bool:
-        a, b = pair
-        alike = 2 * min(len(a), len(b)) >= UNRELATED_RATIO * (len(a) + len(b))
-        self[pair] = alike = alike and difflib.SequenceMatcher(None, a, b).ratio() >= UNRELATED_RATIO
+        self[pair] = alike = reaches(*pair, UNRELATED_RATIO)
         return alike
 
 
+class Letters:
+    """The most of each letter that a text of a set has, and its shortest text."""
+
+    def __init__(self) -> None:
+        self.most, self.shortest = Counter(), None
+
+    def add(self, text: str) -> None:
+        self.most |= Counter(text)
+        self.shortest = len(text) if self.shortest is None else min(self.shortest, len(text))
+
+    def may_hold(self, text: str, letters: Counter) -> bool:
+        """Whether a text of the set can reach the bar: no matching is larger than the letters shared."""
+        both = len(text) + self.shortest
+        return both == 0 or 2.0 * (letters & self.most).total() / both >= UNRELATED_RATIO
+
+
 class Cell:
     """Removed and added rows of a cell, each side sorted, and how they may pair."""
 
     def __init__(self, olds: list[Entry], news: list[Entry], constants: int, least: float):
         self.olds, self.news, self.constants, self.least, self.alike = olds, news, constants, least, Ratios()
         self.queues: dict = defaultdict(Queue)
+        # Of each set of stems, what letters its texts have.
+        self.letters: dict = defaultdict(lambda: defaultdict(Letters))
         self.guarded = any(o.must or o.listed for o in olds)
         self.labels = []
         for j, n in enumerate(news):
@@ -99,6 +140,8 @@ class Cell:
             if self.guarded:
                 labels += [("must", n.columns, cell) for cell in n.must] + [("stem", n.columns, stem) for stem in n.stems]
                 labels += [] if n.said else [("blank", n.columns)]
+                if n.said:
+                    self.letters[n.columns][n.stems].add(n.said)
             self.labels.append(labels)
             for label in labels:
                 self.queues[label].rows.append(j)
@@ -122,7 +165,6 @@ class Cell:
 
     def first_fit(self, o: Entry, columns: tuple[str, ...]) -> int | None:
         """The first free added row of a kind that meets what the removed row asks for."""
-        every = self.queues[("kind", columns)]
         if o.must:
             asked = min((self.queues.get(("must", columns, cell), Queue()) for cell in o.must), key=lambda q: len(q.rows))
             j = asked.head() if asked.rows else None
@@ -130,11 +172,18 @@ class Cell:
                 j = asked.after(j)
             return j
         if not o.listed or not o.said:
-            return every.head()
+            return self.queues[("kind", columns)].head()
         known = [self.queues[label] for label in [("blank", columns), *(("stem", columns, s) for s in o.stems)] if label in self.queues]
         sure = min((j for j in (q.head() for q in known) if j is not None), default=None)
+        # What shares no stem is asked once by its set of stems: most sets have no text that is alike enough.
+        every, sets, letters, hopeful = self.queues[("kind", columns)], self.letters[columns], Counter(o.said), {}
         j = every.head()
-        while j is not None and j != sure and not self.related(o, j):
+        while j is not None and j != sure:
+            stems = self.news[j].stems
+            if stems not in hopeful:
+                hopeful[stems] = sets[stems].may_hold(o.said, letters)
+            if hopeful[stems] and self.related(o, j):
+                break
             j = every.after(j)
         return j
 
