@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from tidemark.session import broadcast_if_bounded, cut_lineage
 # --- Fixed values ---------------------------------------------------------------------------
 NEAR_NM = 10.0
 NEAREST = 5
+#: Rings of a search grow by this factor; targets that a place looks at on average before the search begins in a finer ring.
+RING_STEP, RING_TARGETS, MOST_RINGS = 4, 64, 12
 AREA_SHARE = 0.02
 SHIFT_NM = 0.2
 BOX_CELL = 0.5
@@ -39,26 +43,60 @@ def nearest_within(points: DataFrame, targets: DataFrame, radius_nm: float = NEA
     """J-4: up to ``k`` targets within the radius of every point, closest first.
 
     ``points`` and ``targets`` carry ``lat, lon``; targets also ``entity``. Both sides meet in
-    grid cells one radius wide (longitude cells widen toward the poles). Copies at one spot
+    grid cells one ring wide (longitude cells widen toward the poles). Copies at one spot
     are handled once: points are looked up per distinct place, and a place keeps only its
     first ``k`` targets, because no more can ever be chosen.
+
+    Where targets are dense the search begins in a ring smaller than the radius: a place that has
+    ``k`` targets inside a ring is settled, as none outside is closer, and only the others look further.
     """
-    height = radius_nm / 60 * 1.0001
-    spots = points.select("lat", "lon").distinct().withColumn("band", F.explode(F.array(*[_band(F.col("lat"), height) + d for d in (-1, 0, 1)])))
+    homes = top_k(targets.select("entity", "lat", "lon").distinct(), ["lat", "lon"], [F.col("entity")], k)
+    homes = cut_lineage(homes.select("entity", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")))
+    spots = cut_lineage(points.select("lat", "lon").distinct())
+    found = []
+    for reach in _rings(spots, homes, radius_nm):
+        best = top_k(_hits(spots, homes, reach), ["lat", "lon"], [F.col("nm"), F.col("entity")], k, rank="rank")
+        if reach < radius_nm:
+            best = cut_lineage(best)
+            full = best.filter(F.col("rank") == k).select("lat", "lon")
+            spots = cut_lineage(spots.join(full, ["lat", "lon"], "left_anti"))
+            best = best.join(full, ["lat", "lon"], "left_semi")
+        found.append(best)
+    best = reduce(DataFrame.unionByName, found)
+    return points.join(best, ["lat", "lon"]).withColumn("nm_label", F.bround("nm", 0).cast("int").cast("string"))
+
+
+def _in_cells(places: DataFrame, lat: str, lon: str, height: float) -> DataFrame:
+    """Each place with its cell (``band``, ``cell``)."""
+    places = places.withColumn("band", _band(F.col(lat), height))
+    return places.withColumn("cell", _column(F.col(lon), _column_count(F.col("band"), height)))
+
+
+def _rings(spots: DataFrame, homes: DataFrame, radius_nm: float) -> list[float]:
+    """The reaches of a search, ascending to the radius. The first is so small that a place has few targets
+    around it, by counts of both sides per cell."""
+    out = [radius_nm]
+    while len(out) < MOST_RINGS:
+        height = out[0] / 60 * 1.0001
+        per_cell = lambda df, lat, lon, name: _in_cells(df, lat, lon, height).groupBy("band", "cell").agg(F.count(F.lit(1)).alias(name))
+        cells = per_cell(spots, "lat", "lon", "spots").join(per_cell(homes, "t_lat", "t_lon", "homes"), ["band", "cell"])
+        met, looking = cells.agg(F.sum(F.col("spots").cast("double") * F.col("homes")), F.sum("spots")).first()
+        if not looking or met <= RING_TARGETS * looking:
+            break
+        out.insert(0, out[0] / RING_STEP)
+    return out
+
+
+def _hits(spots: DataFrame, homes: DataFrame, reach: float) -> DataFrame:
+    """Every target within ``reach`` of a place."""
+    height = reach / 60 * 1.0001
+    spots = spots.withColumn("band", F.explode(F.array(*[_band(F.col("lat"), height) + d for d in (-1, 0, 1)])))
     count = _column_count(F.col("band"), height)
     around = F.array_distinct(F.array(*[F.pmod(_column(F.col("lon"), count) + d, count) for d in (-1, 0, 1)]))
     spots = spots.withColumn("cell", F.explode(around))
-    homes = top_k(targets.select("entity", "lat", "lon").distinct(), ["lat", "lon"], [F.col("entity")], k)
-    homes = homes.select("entity", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), _band(F.col("lat"), height).alias("band"))
-    homes = homes.withColumn("cell", _column(F.col("t_lon"), _column_count(F.col("band"), height)))
     nm = geo.nautical_miles(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
-    hits = (
-        spots.join(broadcast_if_bounded(homes), ["band", "cell"])
-        .select("lat", "lon", "entity", nm.alias("nm"))
-        .filter(F.col("nm") <= radius_nm)
-    )
-    best = top_k(hits, ["lat", "lon"], [F.col("nm"), F.col("entity")], k, rank="rank")
-    return points.join(best, ["lat", "lon"]).withColumn("nm_label", F.bround("nm", 0).cast("int").cast("string"))
+    hits = spots.join(broadcast_if_bounded(_in_cells(homes, "t_lat", "t_lon", height)), ["band", "cell"])
+    return hits.select("lat", "lon", "entity", nm.alias("nm")).filter(F.col("nm") <= reach)
 
 
 # --- polygons -------------------------------------------------------------------------------
