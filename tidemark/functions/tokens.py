@@ -137,7 +137,14 @@ def masked(text: Column) -> Column:
         )
         return let(pavement_codes(t), body)
 
-    return let(parsed(without_addresses(capitals(text))), hide)
+    # Only texts with four single letters between slashes, or an X before a number, have anything to hide.
+    some = f"[A-Z]/[A-Z]/[A-Z]/[A-Z]|(?:^|[^A-Z])X[{BLANKS}]*[0-9]"
+    return let(without_addresses_of(capitals(text)), lambda x: F.when(x.rlike(some), let(parsed(x), hide)).otherwise(x))
+
+
+def without_addresses_of(upper: Column) -> Column:
+    """:func:`without_addresses` of an expression, which is evaluated once."""
+    return let(upper, without_addresses)
 
 
 def compounds(text: Column) -> Column:

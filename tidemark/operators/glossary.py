@@ -10,7 +10,7 @@ from tidemark.functions import tokens as K
 from tidemark.functions.text import let, lit_array
 from tidemark.operators import phrases as P
 from tidemark.operators.skew import first_per_key
-from tidemark.session import broadcast_if_bounded
+from tidemark.session import broadcast_if_bounded, cut_lineage
 
 # --- Fixed values ---------------------------------------------------------------------------
 PLAIN_WORDS = (
@@ -156,8 +156,8 @@ def context_counts(texts: DataFrame, text: str, key: list[str], rules: DataFrame
 
 def term_array(text: Column) -> Column:
     """T-7 without a glossary: the words of a text, numbers aside: whole alphabetic tokens, and the alphabetic
-    parts of tokens joined by '-' or '/'."""
-    return F.filter(F.flatten(F.transform(K.compounds(K.masked(text)), K.parts_of)), K.alphabetic)
+    parts of tokens joined by '-' or '/'. Those are the runs of letters that no digit touches."""
+    return F.regexp_extract_all(K.masked(text), F.lit("(?<![A-Z0-9])[A-Z]++(?![0-9])"), F.lit(0))
 
 
 def term_rows(texts: DataFrame, text: str, key: list[str], glossary: DataFrame | None = None) -> DataFrame:
@@ -169,7 +169,8 @@ def term_rows(texts: DataFrame, text: str, key: list[str], glossary: DataFrame |
     if glossary is None:
         found = texts.select(*key, F.explode(term_array(F.col(text))).alias("term"))
     else:
-        tokens = texts.select(*key, F.explode(K.compounds(K.masked(F.col(text)))).alias("token"))
+        # Read twice below; texts are cut into tokens once.
+        tokens = cut_lineage(texts.select(*key, F.explode(K.compounds(K.masked(F.col(text)))).alias("token")))
         joint = glossary.filter(~K.alphabetic(F.col("term"))).select("term")
         forms = tokens.filter(~K.alphabetic(F.col("token"))).select(F.col("token").alias("term")).distinct()
         whole = lookup(forms, glossary.join(joint, "term", "left_semi")).filter("entry is not null").select(F.col("term").alias("token"), F.lit(True).alias("whole"))
@@ -186,7 +187,6 @@ def without_postal_words(text: Column, states: Column) -> Column:
     its state; a measurement or a runway's number is no house. A state counts after a city and a comma
     before a ZIP code or the end, or between a city and a ZIP code.
     """
-    words = F.split(F.trim(F.regexp_replace(F.upper(text), r"\s+", " ")), " ")
     bare = lambda w: F.rtrim(w, F.lit(".,;"))
 
     def postal(v: Column) -> Column:
@@ -208,7 +208,12 @@ def without_postal_words(text: Column, states: Column) -> Column:
         street = lambda k: said(k).isin(*STREET_WORDS) & (stops(k) | last(k) | before_city(k)) & named(k)
         return F.array_join(F.transform(v["words"], lambda w, k: F.when(street(k) | of_state(k), " ").otherwise(w)), " ")
 
-    return let(F.struct(words.alias("words"), F.transform(words, bare).alias("bare")), postal)
+    # Only these stretches can be a house and its street, or a state: other texts stay as they are.
+    house = "(?:^| )[NSEW]?[0-9]{1,6}[A-Z]?[.,;]* (?:[^ ]+ ){1,4}(?:" + "|".join(STREET_WORDS) + ")[.,;]*(?: |$)"
+    place = " [^ ]+ [0-9]{5}(?:-[0-9]{4})?[.,;]*(?: |$)|, [^ ]+$"
+    judged = lambda t: let(F.split(t, " "), lambda w: let(F.struct(w.alias("words"), F.transform(w, bare).alias("bare")), postal))
+    flat = F.trim(F.regexp_replace(F.upper(text), r"\s+", " "))
+    return let(flat, lambda t: F.when(t.rlike(house) | ((F.size(states) > 0) & t.rlike(place)), judged(t)).otherwise(t))
 
 
 def looks_contracted(term: Column) -> Column:
@@ -234,7 +239,7 @@ def review_terms(texts: DataFrame, text: str, key: list[str], glossary: DataFram
     """T-8: terms a translation must leave as written, less known names and the words of postal
     addresses. ``names(name)`` is a list of ids, ``states`` the state codes, ``rules`` as of
     :func:`context_rules`: a term that has a meaning wherever the text has it is settled."""
-    left = _left_open(open_terms(texts, text, key, states, glossary), glossary, names).select(*key, "term", "n")
+    left = _left_open(cut_lineage(open_terms(texts, text, key, states, glossary)), glossary, names).select(*key, "term", "n")
     if rules is None:
         return left
     told = context_counts(texts, text, key, rules).groupBy(*key, "term").agg(F.sum("n_raw").alias("told"))
@@ -245,9 +250,11 @@ def open_terms(texts: DataFrame, text: str, key: list[str], states: tuple[str, .
     """T-8's candidates, ``key.., term, n``: no plain words, single letters or Roman numbers, and nothing
     out of an address."""
     open_text = texts.withColumn("__t", without_postal_words(F.col(text), lit_array(states)))
-    plain = lit_array(PLAIN_WORDS + NEGATIONS)
-    rows = term_rows(open_text, "__t", key, glossary)
-    return rows.filter(~F.array_contains(plain, F.col("term")) & (F.length("term") > 1) & ~F.col("term").rlike("^[IVX]+$"))
+    return term_rows(open_text, "__t", key, glossary).filter(_may_be_open(F.col("term")))
+
+
+def _may_be_open(term: Column) -> Column:
+    return ~term.isin(*PLAIN_WORDS, *NEGATIONS) & (F.length(term) > 1) & ~term.rlike("^[IVX]+$")
 
 
 def _left_open(rows: DataFrame, glossary: DataFrame, names: DataFrame) -> DataFrame:
@@ -261,8 +268,13 @@ def _left_open(rows: DataFrame, glossary: DataFrame, names: DataFrame) -> DataFr
 def unknown_term_counts(texts: DataFrame, text: str, key: list[str], glossary: DataFrame, names: DataFrame, states: tuple[str, ...] = ()) -> DataFrame:
     """A-4 over T-8: ``term, texts``: in how many texts each term occurs that a translation must leave
     as written. Texts are cut into terms once and counted before the glossary is asked, so only distinct
-    terms meet it."""
-    return _left_open(open_terms(texts, text, key, states).groupBy("term").agg(F.count(F.lit(1)).alias("texts")), glossary, names).select("term", "texts")
+    terms meet it. Terms that cannot be left open, neither contracted nor an open entry, are not counted."""
+    open_text = texts.withColumn("__t", without_postal_words(F.col(text), lit_array(states)))
+    found = open_text.select(*key, F.explode(F.array_distinct(term_array(F.col("__t")))).alias("term")).filter(_may_be_open(F.col("term")))
+    entries = glossary.filter(~F.col("verified") & ~F.col("english")).select("term", F.lit(True).alias("listed")).distinct()
+    found = found.join(broadcast_if_bounded(entries), "term", "left").filter(looks_contracted(F.col("term")) | F.col("listed"))
+    counted = cut_lineage(found.select(*key, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("texts")))
+    return _left_open(counted, glossary, names).select("term", "texts")
 
 
 def most_common(terms: DataFrame, texts_key: str) -> DataFrame:
