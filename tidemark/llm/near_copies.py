@@ -4,9 +4,10 @@ Exact, by prefixes: under any one order of all shingles, two sets that similar s
 the first fifth (and one more) of each. Shingles common in a sample of texts come last in the order,
 then it is that of their hashes, so few unlike texts meet. The sample moves the cost, never the result.
 
-A group of copies is not compared pair by pair. In a few rounds each text is first held against one text,
-drawn anew each round, of each shingle it meets; the links found are contracted into the roots known so far, and
-only texts that this leaves under different roots are paired afterwards. Pairs meet by shingle and band of sizes
+A group of copies is not compared pair by pair. Texts whose fingerprints of the same shingles a forest of
+vantage-point trees ties (``simhash``) are held against each other first. Then, in a few rounds, each text is held
+against a few texts, drawn anew each round, of each shingle it meets. The links found are contracted into the roots
+known so far, and only texts that this leaves under different roots are paired afterwards. Pairs meet by shingle and band of sizes
 and have to share enough by their places in the prefixes. Small bitmaps of the sets rule most of the others out
 inside that join, without error; the rest is decided by the whole sets of both texts.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import input_tasks, shared_folder, single, text_of, utf8_buffers
+from tidemark.llm import simhash
 from tidemark.llm.graph import components
 from tidemark.session import cut_lineage
 
@@ -29,8 +31,9 @@ SHINGLE_WORDS = 5
 #: Texts of the sample, in how many of them a shingle is common, and how many common ones are told apart.
 SAMPLE, COMMON, MOST_COMMON = 2_000, 3, 100_000
 
-#: Rounds of stars before what is left is paired, and bits of a set's bitmap.
-STARS, BITMAP = 3, 512
+#: Rounds of stars before what is left is paired, texts of a shingle that are centres in a round, and bits of
+#: a set's bitmap.
+STARS, CENTRES, BITMAP = 3, 4, 512
 #: Links that one task unites at most.
 FEW_LINKS = 200_000
 
@@ -167,6 +170,18 @@ def _tied(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return cut_lineage(moved.unionByName(joint.join(labels, "node", "left_anti").select("node", "root")))
 
 
+def forest_pairs(texts: DataFrame, words: int) -> DataFrame:
+    """Pairs (a, b) of texts that the forest ties: each text with the first of its fingerprint, and the firsts
+    of the fingerprints of a link. A spanning forest, so never more pairs than a few for each text."""
+    marked = cut_lineage(simhash.fingerprints(texts, "text", "node", words))
+    first = cut_lineage(marked.groupBy("fp").agg(F.min("key").alias("first")))
+    same = marked.join(first, "fp").select("first", "key")
+    of = lambda s: first.select(F.col("fp").alias(s), F.col("first").alias(f"first_{s}"))
+    tied = simhash.close_links(first).join(of("a"), "a").join(of("b"), "b").select("first_a", "first_b")
+    pairs = same.toDF("x", "y").unionByName(tied.toDF("x", "y")).filter("x != y")
+    return cut_lineage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
 def similar_groups(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(node, root) for each of ``texts`` (node, text; nodes are unique) that chains of a Jaccard of 0.8 or more
     tie to another; a root is the same for all that are tied."""
@@ -213,17 +228,23 @@ def similar_groups(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
         return cut_lineage(marked.join(parted, "token", "left_semi"))
 
     # Pairs that a star misses are met below: its shingles may have several centres.
-    labels, known, marked = None, None, met.withColumn("root", F.col("node"))
+    known = forest_pairs(texts, words)
+    found = texts_of(known)
+    labels = _tied(None, tested(possible(known, found), found))
+    marked = apart_yet(labels)
     for turn in range(STARS):
-        centre = marked.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "size", "root")).alias("first"))
+        drawn = lambda k, turn=turn: F.min(F.struct(F.xxhash64("node", F.lit(turn * CENTRES + k)).alias("draw"), "node", "size", "root"))
+        centre = marked.groupBy("token").agg(F.array(*[drawn(k) for k in range(CENTRES)]).alias("drawn"))
+        firsts = F.array_distinct(F.transform("drawn", lambda d: F.struct(d["node"].alias("node"), d["size"].alias("size"), d["root"].alias("root"))))
+        centre = centre.select("token", F.explode(firsts).alias("first"))
         stars = marked.join(centre, "token").filter(F.col("root") != F.col("first.root"))
         node, first = F.col("node"), F.col("first.node")
         stars = stars.select(F.least(node, first).alias("a"), F.greatest(node, first).alias("b"), F.when(node < first, F.col("size")).otherwise(F.col("first.size")).alias("size_a"), F.when(node < first, F.col("first.size")).otherwise(F.col("size")).alias("size_b"))
         stars = hopeful(stars.filter(least * 5 >= most * 4))
-        stars = stars if known is None else cut_lineage(stars.join(known, ["a", "b"], "left_anti"))
+        stars = cut_lineage(stars.join(known, ["a", "b"], "left_anti"))
         found = texts_of(stars)
         more = tested(possible(stars, found), found)
-        known = stars if known is None else known.unionByName(stars)
+        known = known.unionByName(stars)
         labels = _tied(labels, more)
         marked = apart_yet(labels)
         if more.isEmpty():
