@@ -98,9 +98,7 @@ class _Cutter:
         opening = (self.quotes + np.arange(len(quote))) % 2 == 0
         beside = np.where(opening, around[quote], around[quote + 2])
         wrong = quote[~np.isin(beside, (44, 10, 13, 34))]
-        line = np.flatnonzero(data == 10)
-        if not len(line):
-            line = np.flatnonzero((data == 13) & (around[2:] != 10))
+        line = np.flatnonzero((data == 10) | (data == 13) & (around[2:] != 10))
         outside = (self.quotes + np.searchsorted(quote, line)) % 2 == 0
         ends = line[outside] + 1
         if not self.in_order:
@@ -156,7 +154,7 @@ def pieces(spark: SparkSession, kept: DataFrame, piece_bytes: int = PIECE_BYTES)
                             header = piece
                         else:
                             yield pd.DataFrame({"path": [path], "place": [place], "part": [part], "line": [line], "header": [header], "content": [piece]})
-                        line += piece.count(b"\n") or piece.count(b"\r")
+                        line += piece.count(b"\n") + piece.count(b"\r") - piece.count(b"\r\n")
 
     found = _archives(spark, paths).join(broadcast_if_bounded(places), "path").mapInPandas(unpack, PIECES)
     return found.join(broadcast_if_bounded(kept.select("cycle", "file", "path", "place", "utf8")), ["path", "place"]).drop("path", "place")
