@@ -37,6 +37,9 @@ STARS, CENTRES, BITMAP = 3, 4, 512
 #: Links that one task unites at most.
 FEW_LINKS = 200_000
 
+#: Bits told for each node that is looked for, and the binary logarithm of the most in all (8 MB).
+NODE_BITS, MOST_BITS = 8, 26
+
 #: Hashes that different texts meet in, told apart in one turn; at 10^10 texts there are about three.
 MOST_MET = 1_000
 
@@ -112,6 +115,31 @@ def _bitmaps(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         yield pa.record_batch([single(batch, "node"), pa.array(sizes, pa.int32()), maps], names=["node", "size", "bits"])
 
 
+def _told(nodes: DataFrame) -> np.ndarray:
+    """Bits, in whole numbers of 64, of which the one that a node's last digits number is set for all of ``nodes``
+    (node, distinct) and for few others. Bounded, whatever is looked for."""
+    bits = 1 << min(MOST_BITS, max(6, (NODE_BITS * nodes.count()).bit_length()))
+    at = F.pmod("node", F.lit(bits))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(node, {bits}) % 64 as int))")
+    found = nodes.select(F.shiftright(at, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def _among(batches: Iterator[pa.RecordBatch], told: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = single(batch, "node").to_numpy() & (64 * len(told) - 1)
+        yield batch.filter(pa.array((told[at >> 6] >> (at & 63) & 1).astype(bool)))
+
+
+def texts_among(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``texts`` (node, text) of ``nodes`` (node, distinct) and few others, found where they lie: what is
+    joined afterwards moves these texts, not all."""
+    told = texts.sparkSession.sparkContext.broadcast(_told(nodes))
+    return texts.select("node", "text").mapInArrow(lambda it: _among(it, told.value), "node long, text string")
+
+
 def _possible() -> Column:
     """Whether the bitmaps of a pair leave a Jaccard of 0.8 possible: a bit of one alone is a shingle of one alone,
     and there are (a + b) / 9 of those at most."""
@@ -209,7 +237,7 @@ def similar_groups(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return cut_lineage(texts.join(needed, "node", "left_semi"))
+        return cut_lineage(texts_among(texts, needed).join(needed, "node", "left_semi"))
 
     def possible(pairs: DataFrame, found: DataFrame) -> DataFrame:
         maps = found.mapInArrow(lambda it: _bitmaps(it, words), MAPS)
@@ -252,7 +280,7 @@ def similar_groups(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
     # Of two sets that similar the larger is in the band of sizes of the smaller or in the next one. The bitmaps
     # are asked inside the join: of a large group of half alike texts it makes no row for each pair.
-    maps = texts.join(marked.select("node").distinct(), "node", "left_semi").mapInArrow(lambda it: _bitmaps(it, words), MAPS)
+    maps = texts_among(texts, marked.select("node").distinct()).mapInArrow(lambda it: _bitmaps(it, words), MAPS)
     marked = marked.join(cut_lineage(maps.select("node", "bits")), "node")
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(1.25)).cast("int")
     x, y = (marked.select("token", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "pos", "root", "bits")], band.alias("band")) for s in "ab")
@@ -299,7 +327,10 @@ def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     """
     rows = _nodes(docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text")))
     if rows.rdd.getNumPartitions() < input_tasks(rows):
-        rows = rows.repartition(input_tasks(rows))
+        # Dealt out once and kept: the texts are read again in every round.
+        folder = shared_folder(rows.sparkSession, "near-copies-texts")
+        rows.repartition(input_tasks(rows)).write.parquet(folder)
+        rows = rows.sparkSession.read.parquet(folder)
     marked = cut_lineage(rows.select("key", "node"))
     once = cut_lineage(marked.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")))
     texts = rows.select("node", "text")
