@@ -26,3 +26,21 @@ def test_texts_of_few_files_are_dealt_out_once(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "shared_folder", lambda s, name, f=near_copies.shared_folder: asked.append(name) or f(s, name))
     kept = sorted(r.doc_id for r in near_copies.drop_similar(docs).collect())
     assert kept == [0, 10, 20, 30] and asked.count("near-copies-texts") == 1
+
+
+def test_intermediates_have_no_more_parts_than_the_texts(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(40)) + f" x{k}") for k in range(12)], "node long, text string").coalesce(2)
+    tasks, parts = near_copies.input_tasks(texts), []
+    cut = lambda df, f=near_copies.cut_lineage: parts.append((out := f(df)).rdd.getNumPartitions()) or out
+    monkeypatch.setattr(near_copies, "cut_lineage", cut)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(tasks + 9)}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        roots = near_copies.similar_groups(texts).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.node for r in roots} == set(range(12)) and len({r.root for r in roots}) == 1
+    assert parts and max(parts) <= tasks

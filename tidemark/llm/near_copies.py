@@ -176,50 +176,58 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
 
 
-def _roots(links: DataFrame) -> DataFrame:
+def _cut(df: DataFrame, tasks: int) -> DataFrame:
+    """``df`` with its lineage cut, in ``tasks`` parts at most: what shuffles deal to more is small here, and each
+    part costs files of its own in every later shuffle."""
+    return cut_lineage(df.coalesce(tasks))
+
+
+def _roots(links: DataFrame, tasks: int) -> DataFrame:
     """(node, root): by one task where the links are counted and few, in rounds of joins beyond."""
-    links = cut_lineage(links)
+    links = _cut(links, tasks)
     if links.limit(FEW_LINKS + 1).count() > FEW_LINKS:
         return components(links)
     return links.repartition(1).mapInArrow(_united, "node long, root long")
 
 
-def _tied(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _tied(labels: DataFrame | None, links: DataFrame, tasks: int) -> DataFrame:
     """(node, root) of all nodes under links, where ``labels`` already says it of earlier ones: only the new
     links, between the roots known so far, are followed."""
     if labels is None:
-        return cut_lineage(_roots(links))
+        return _cut(_roots(links, tasks), tasks)
     root = lambda s: labels.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
     between = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
     between = between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a != b").distinct()
-    joint = cut_lineage(_roots(between))
+    joint = _cut(_roots(between, tasks), tasks)
     over = joint.select(F.col("node").alias("root"), F.col("root").alias("joint"))
     moved = labels.join(over, "root", "left").select("node", F.coalesce("joint", "root").alias("root"))
-    return cut_lineage(moved.unionByName(joint.join(labels, "node", "left_anti").select("node", "root")))
+    return _cut(moved.unionByName(joint.join(labels, "node", "left_anti").select("node", "root")), tasks)
 
 
-def forest_pairs(texts: DataFrame, words: int) -> DataFrame:
+def forest_pairs(texts: DataFrame, words: int, tasks: int | None = None) -> DataFrame:
     """Pairs (a, b) of texts that the forest ties: each text with the first of its fingerprint, and the firsts
     of the fingerprints of a link. A spanning forest, so never more pairs than a few for each text."""
-    marked = cut_lineage(simhash.fingerprints(texts, "text", "node", words))
-    first = cut_lineage(marked.groupBy("fp").agg(F.min("key").alias("first")))
+    tasks = tasks or input_tasks(texts)
+    marked = _cut(simhash.fingerprints(texts, "text", "node", words), tasks)
+    first = _cut(marked.groupBy("fp").agg(F.min("key").alias("first")), tasks)
     same = marked.join(first, "fp").select("first", "key")
     of = lambda s: first.select(F.col("fp").alias(s), F.col("first").alias(f"first_{s}"))
-    tied = simhash.close_links(first).join(of("a"), "a").join(of("b"), "b").select("first_a", "first_b")
+    links = _cut(simhash.close_links(first), tasks)
+    tied = links.join(of("a"), "a").join(of("b"), "b").select("first_a", "first_b")
     pairs = same.toDF("x", "y").unionByName(tied.toDF("x", "y")).filter("x != y")
-    return cut_lineage(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return _cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), tasks)
 
 
 def similar_groups(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(node, root) for each of ``texts`` (node, text; nodes are unique) that chains of a Jaccard of 0.8 or more
     tie to another; a root is the same for all that are tied."""
-    spark = texts.sparkSession
+    spark, tasks = texts.sparkSession, input_tasks(texts)
     order = spark.sparkContext.broadcast(_common(texts, words))
     prefixes = texts.mapInArrow(lambda it: _sets(it, words, *order.value), SETS).select("node", "size", F.posexplode("tokens").alias("pos", "token"))
     same = Window.partitionBy("token")
     met = prefixes.withColumns({"n": F.count(F.lit(1)).over(same)}).filter("n > 1").drop("n")
     folder = shared_folder(spark, "near-copies")
-    met.write.parquet(folder)
+    met.coalesce(tasks).write.parquet(folder)
     order.unpersist()
     met = spark.read.parquet(folder)
     least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
@@ -233,32 +241,32 @@ def similar_groups(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
         """
         n = rows.groupBy("a", "b", "size_a", "size_b").count()
         behind = F.greatest(*[F.col(c) - (F.floor(F.col(c) / 5) + 1) for c in ("size_a", "size_b")])
-        return cut_lineage(n.filter((F.col("count") + behind) * 9 >= wanted).select("a", "b"))
+        return _cut(n.filter((F.col("count") + behind) * 9 >= wanted).select("a", "b"), tasks)
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return cut_lineage(texts_among(texts, needed).join(needed, "node", "left_semi"))
+        return _cut(texts_among(texts, needed).join(needed, "node", "left_semi"), tasks)
 
     def possible(pairs: DataFrame, found: DataFrame) -> DataFrame:
         maps = found.mapInArrow(lambda it: _bitmaps(it, words), MAPS)
         of = lambda s: maps.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("bits").alias(f"bits_{s}"))
-        return cut_lineage(pairs.join(of("a"), "a").join(of("b"), "b").filter(_possible()).select("a", "b"))
+        return _cut(pairs.join(of("a"), "a").join(of("b"), "b").filter(_possible()).select("a", "b"), tasks)
 
     def tested(pairs: DataFrame, found: DataFrame) -> DataFrame:
         both = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
         both = both.join(found.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
-        return cut_lineage(both.select("a", "b", "one", "other").mapInArrow(lambda it: _tested(it, words), "a long, b long"))
+        return _cut(both.select("a", "b", "one", "other").mapInArrow(lambda it: _tested(it, words), "a long, b long"), tasks)
 
     def apart_yet(labels: DataFrame) -> DataFrame:
         """The rows of shingles that texts under different roots meet in."""
         marked = met.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         parted = marked.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token")
-        return cut_lineage(marked.join(parted, "token", "left_semi"))
+        return _cut(marked.join(parted, "token", "left_semi"), tasks)
 
     # Pairs that a star misses are met below: its shingles may have several centres.
-    known = forest_pairs(texts, words)
+    known = forest_pairs(texts, words, tasks)
     found = texts_of(known)
-    labels = _tied(None, tested(possible(known, found), found))
+    labels = _tied(None, tested(possible(known, found), found), tasks)
     marked = apart_yet(labels)
     for turn in range(STARS):
         drawn = lambda k, turn=turn: F.min(F.struct(F.xxhash64("node", F.lit(turn * CENTRES + k)).alias("draw"), "node", "size", "root"))
@@ -269,11 +277,11 @@ def similar_groups(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
         node, first = F.col("node"), F.col("first.node")
         stars = stars.select(F.least(node, first).alias("a"), F.greatest(node, first).alias("b"), F.when(node < first, F.col("size")).otherwise(F.col("first.size")).alias("size_a"), F.when(node < first, F.col("first.size")).otherwise(F.col("size")).alias("size_b"))
         stars = hopeful(stars.filter(least * 5 >= most * 4))
-        stars = cut_lineage(stars.join(known, ["a", "b"], "left_anti"))
+        stars = _cut(stars.join(known, ["a", "b"], "left_anti"), tasks)
         found = texts_of(stars)
         more = tested(possible(stars, found), found)
         known = known.unionByName(stars)
-        labels = _tied(labels, more)
+        labels = _tied(labels, more, tasks)
         marked = apart_yet(labels)
         if more.isEmpty():
             break
@@ -281,7 +289,7 @@ def similar_groups(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     # Of two sets that similar the larger is in the band of sizes of the smaller or in the next one. The bitmaps
     # are asked inside the join: of a large group of half alike texts it makes no row for each pair.
     maps = texts_among(texts, marked.select("node").distinct()).mapInArrow(lambda it: _bitmaps(it, words), MAPS)
-    marked = marked.join(cut_lineage(maps.select("node", "bits")), "node")
+    marked = marked.join(_cut(maps.select("node", "bits"), tasks), "node")
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(1.25)).cast("int")
     x, y = (marked.select("token", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "pos", "root", "bits")], band.alias("band")) for s in "ab")
     x = x.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
@@ -290,8 +298,8 @@ def similar_groups(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     likely = first & (F.col("root_a") != F.col("root_b")) & (F.col("size_a") * 5 >= F.col("size_b") * 4) & (shared * 9 >= wanted)
     apart = hopeful(x.join(y, ["token", "band"]).filter(likely & _possible()))
     apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    apart = cut_lineage(apart.join(known, ["a", "b"], "left_anti"))
-    return _tied(labels, tested(apart, texts_of(apart)))
+    apart = _cut(apart.join(known, ["a", "b"], "left_anti"), tasks)
+    return _tied(labels, tested(apart, texts_of(apart)), tasks)
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -332,7 +340,7 @@ def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", words
         rows.repartition(input_tasks(rows)).write.parquet(folder)
         rows = rows.sparkSession.read.parquet(folder)
     marked = cut_lineage(rows.select("key", "node"))
-    once = cut_lineage(marked.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")))
+    once = _cut(marked.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")), input_tasks(rows))
     texts = rows.select("node", "text")
     if not once.filter("n > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])
